@@ -1,6 +1,8 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+from voxweave.llm import licenses
+
+SQL: dict[str, str] = {"op9_license_scan": licenses.oracle()}
 
 
 def oracle_sql() -> dict[str, str]:

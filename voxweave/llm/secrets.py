@@ -98,3 +98,32 @@ def scan(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([rows.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas), pa.array(spans)], ["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
+
+
+def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
+    """docs with every span that scan() finds (overlapping ones as one) replaced by mark; n_chars, if there, is counted again.
+
+    Null texts stay null. Other columns are as they were.
+    """
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in pieces(batch, "text"):
+                whole, at = data.tobytes(), names.index("text")
+                was, texts = rows.column(at), []
+                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    text, out, done = whole[a:b], [], 0
+                    for s, _, e in find(text):
+                        if s >= done:
+                            out += [text[done:s], mark.encode()]
+                        done = max(done, e)
+                    texts.append(b"".join([*out, text[done:]]).decode() if was[i].is_valid else None)
+                cols = list(rows.columns)
+                cols[at] = pa.array(texts, pa.string())
+                if "n_chars" in names:
+                    n = names.index("n_chars")
+                    cols[n] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(rows.column(n).type)
+                yield pa.record_batch(cols, names)
+
+    return docs.mapInArrow(run, docs.schema)
