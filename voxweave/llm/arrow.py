@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Rows of an Arrow batch of texts. The default of 10,000 holds tens of MB on both sides of each worker's pipe.
+ROWS = 1_000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, with its session's Arrow batches bounded to ROWS rows."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS:
+        conf.set(key, str(ROWS))
+    return docs
+
+
+def _trim() -> None:
+    """Gives freed memory back: workers live on between tasks, and glibc keeps freed arrays otherwise."""
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -27,6 +46,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    _trim()
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from voxweave.llm.arrow import pieces
+from voxweave.llm.arrow import pieces, small_batches
 from voxweave.llm.pretoken import SPECIAL, Words, vocabulary
 
 
@@ -150,4 +150,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                     back.append(hashlib.sha256(own.decode(ids)).hexdigest())
                 yield pa.record_batch([rows.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxweave.llm.arrow import pieces, sums
+from voxweave.llm.arrow import pieces, small_batches, sums
 from voxweave.llm.common import components, cut
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -138,7 +138,7 @@ def near_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     repeat a doc_id count as one document; a null doc_id has n_shingles and links with nothing.
     Shingles are compared by 64-bit hashes.
     """
-    docs, bands = docs.select("doc_id", "text"), Bands(num, den)
+    docs, bands = small_batches(docs.select("doc_id", "text")), Bands(num, den)
     made = cut(docs.mapInArrow(_parts(k, bands), "doc_id long, n long, ident binary, first int, filled array<int>, band int, key long"), "parts")
     heads = made.where("key is null")
     copies = heads.where("n > 0 and doc_id is not null").groupBy("ident").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxweave.llm.arrow import pieces
+from voxweave.llm.arrow import pieces, small_batches
 from voxweave.llm.common import buckets, cut, prefix_sum
 from voxweave.llm.pretoken import library, vocabulary
 
@@ -55,7 +55,7 @@ def pack(docs: DataFrame, most: int = 2048, end_id: int = 1, path: str | None =
                 cols = [rows.column(0).take(pa.array(doc, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, size, crc, total))]
                 yield pa.record_batch([*cols, *([pa.array(tokens, pa.list_(pa.int32()))] if ids else [])], NAMES + ["ids"] * ids)
 
-    made = docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in NAMES) + ", ids array<int>" * ids)
+    made = small_batches(docs.select("doc_id", "text")).mapInArrow(run, ", ".join(f"{c} long" for c in NAMES) + ", ids array<int>" * ids)
     made = cut(made.withColumn("mix", F.xxhash64("doc_id", "start")), "pieces")
     count = buckets(made.count())
     made = made.withColumn("bucket", F.lit(count) * (F.lit(most.bit_length()) - F.length(F.bin("length"))) + F.pmod("mix", F.lit(count)))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxweave.llm.arrow import pieces, sums
+from voxweave.llm.arrow import pieces, small_batches, sums
 
 FEATURES = ("length", "word_length", "upper", "digit", "symbol", "bar", "bang", "blank", "line", "distinct_words", "top_word", "wide", "stops", "commas", "distinct_lines", "long_words")
 FULL, COARSE = 32, 8
@@ -188,7 +188,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: float = 0.7, rows: int = 20_
     predicted is 1 where score >= keep. Null text counts as empty. Without labelled rows to learn from,
     every score is 1. Only texts are inputs of a score. A null doc_id is not held out.
     """
-    model = train(docs, labels, rows)
+    model = train(small_batches(docs), labels, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

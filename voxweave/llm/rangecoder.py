@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxweave.llm.arrow import pieces
+from voxweave.llm.arrow import pieces, small_batches
 from voxweave.llm.common import cut
 from voxweave.llm.pretoken import library, vocabulary
 
@@ -271,7 +271,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocab: str | None = None,
             yield flush()
 
     given = docs.select(F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("doc_id is null"))).otherwise(F.col("doc_id")).cast("long").alias("doc_id"), "text")
-    ordered = given.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = small_batches(given).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, "part long, segment long, n_tokens long, payload binary").write.parquet(path)
 
 

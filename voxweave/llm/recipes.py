@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxweave.llm.arrow import pieces, sums
+from voxweave.llm.arrow import pieces, small_batches, sums
 from voxweave.llm.common import cut
 
 WHITE = np.ones(256, bool)
@@ -87,7 +87,7 @@ def exact_dedup(docs: DataFrame, mark: Callable[[memoryview], bytes] = fingerpri
     repeat a doc_id and its text all count, and are kept or dropped together. A null doc_id sorts last.
     mark: the chunk fingerprint, of 16 bytes at most; results do not depend on it.
     """
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs.select("doc_id", "text"))
 
     def recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from voxweave.llm.arrow import pieces
+from voxweave.llm.arrow import pieces, small_batches
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -97,7 +97,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     spans.append(",".join(x for _, x in said))
                 yield pa.record_batch([rows.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas), pa.array(spans)], ["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
@@ -126,4 +126,4 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
                     cols[n] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(rows.column(n).type)
                 yield pa.record_batch(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
