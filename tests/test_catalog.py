@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from voxweave.functions import numerals, scripts
+from voxweave.functions import kana, numerals, phonology, scripts, text
 from voxweave.functions.dialect import SPARK, lit
 from voxweave.plans.catalog import PLANS
 from voxweave.plans.queries import oracle_sql, run
@@ -42,6 +42,54 @@ def test_phonology(spark, f, given, heard):
     assert one(spark, f(SPARK, lit(given))) == heard
 
 
+@pytest.mark.parametrize(
+    "given, heard",
+    [
+        ("이천이십육년 팔월 십이일 서울의 날씨는 매우 맑고 기온은 이십팔도입니다.", "이처니심늉년 파뤌 시비일 서우레 날씨는 매우 말꼬 기오는 이십팔또임니다."),
+        ("예산안 만 삼백오십원을 확정했습니다.", "예사난 만 삼배고시붜늘 확쩡핻씀니다."),
+        ("판교역에 갈 수 있어. 서울역 만납시다", "판교여게 갈 수 이써. 서울력 만납씨다"),
+        ("맑네요 국무회의를 독립 신라 잃어", "망네요 궁무회이를 동닙 실라 이러"),
+        ("굳이 같이 닫히다 좋다 않는 값이 앉다", "구지 가치 다치다 조타 안는 갑씨 안따"),
+        ("의사의 abc 12 ㅋ", "의사에 abc 12 ㅋ"),
+        ("", ""),
+    ],
+)
+def test_rule_chain(spark, given, heard):
+    assert one(spark, phonology.phonology(SPARK, lit(given))) == heard
+
+
+def test_null_texts(spark):
+    null = "cast(null as string)"
+    for made in (phonology.phonology(SPARK, null), kana.romaji(SPARK, null), kana.ipa(SPARK, null), text.dictionary(SPARK, null, {"a": "b"})):
+        assert one(spark, made) is None
+
+
+@pytest.mark.parametrize("f, given, out", [(kana.romaji, "サンビャクロッピャクキョート", "sanbyakuroppyakukyooto"), (kana.romaji, "ハッチ a", "hatchi a"), (kana.ipa, "ショーワ", "ɕoːwa"), (kana.ipa, "トーキョー", "toːkʲoː"), (kana.ipa, "", "")])
+def test_kana_out(spark, f, given, out):
+    assert one(spark, f(SPARK, lit(given))) == out
+
+
+@pytest.mark.parametrize("n, unit, said", [(1, "本", "イッポン"), (3, "本", "サンボン"), (3, "分", "サンプン"), (4, "分", "ヨンプン"), (6, "回", "ロッカイ"), (8, "歳", "ハッサイ"), (6, "冊", "ロクサツ"), (3, "階", "サンガイ"), (2, "枚", "ニマイ"), (11, "本", None), (1, "x", None)])
+def test_counters(spark, n, unit, said):
+    assert one(spark, kana.counter_liaison(SPARK, f"cast({n} as int)", lit(unit))) == said
+
+
+def test_dictionary(spark):
+    table = {"a": "1", "ab": "2", "1": "never", "it's": "3", "u.s": "4"}
+    assert one(spark, text.dictionary(SPARK, lit("ab a it's u.s uxs\n"), table)) == "2 1 3 4 uxs\n"
+
+
+@pytest.mark.parametrize("spans, out", [([], "가나다라"), ([(0, 1, "A")], "A나다라"), ([(1, 2, ""), (3, 4, "ZZ")], "가다ZZ"), ([(0, 2, "x"), (2, 4, "y")], "xy")])
+def test_apply_spans(spark, spans, out):
+    made = SPARK.list(*(SPARK.struct(s=str(a), e=str(b), r=lit(r)) for a, b, r in spans)) if spans else "cast(array() as array<struct<s:int,e:int,r:string>>)"
+    assert one(spark, text.apply_spans(SPARK, "'가나다라'", made)) == out
+
+
+@pytest.mark.parametrize("word, label, tier", [("만납니다.", "EF", "P3"), ("맑고", "EC", "P2"), ("서울에서", "JKB", "NONE"), ("기온은", "JX", "P1"), ("서울", "NONE", "NONE"), ("다만,", "NONE", "P2")])
+def test_endings(spark, word, label, tier):
+    assert (one(spark, text.ending(SPARK, lit(word))), one(spark, text.pause(SPARK, lit(word)))) == (label, tier)
+
+
 def test_config():
     assert version_number("1.2.3") == 10203 and compatible("1.4.0", 1, 2) and not compatible("2.0.0", 1, 2)
     assert resolve_device("cpu", {"device": "cuda"}, {}) == "cpu" and resolve_device(None, {"device": "cuda"}, {}) == "cuda" and resolve_device(None, {}, {}) == "auto"

@@ -63,6 +63,20 @@ class Spark:
     def json(self, x: str, key: str) -> str:
         return f"get_json_object({x}, '$.{key}')"
 
+    def upto(self, n: str) -> str:
+        """1 to n, where n is at least 1."""
+        return f"sequence(1, cast({n} as int))"
+
+    def list(self, *items: str) -> str:
+        return "array(" + ", ".join(items) + ")"
+
+    def struct(self, **fields: str) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+    def let(self, v: str, x: str, e: str) -> str:
+        """e with v standing for x, which is worked out once."""
+        return f"element_at({self.map(f'array({x})', v, e)}, 1)"
+
 
 class Check(Spark):
     name = "check"
@@ -124,6 +138,18 @@ class Check(Spark):
     def json(self, x: str, key: str) -> str:
         return f"json_extract_string({x}, '$.{key}')"
 
+    def upto(self, n: str) -> str:
+        return f"range(1, {n} + 1)"
+
+    def list(self, *items: str) -> str:
+        return "[" + ", ".join(items) + "]"
+
+    def struct(self, **fields: str) -> str:
+        return "{" + ", ".join(f"{k}: {v}" for k, v in fields.items()) + "}"
+
+    def let(self, v: str, x: str, e: str) -> str:
+        return f"list_extract({self.map(f'[{x}]', v, e)}, 1)"
+
 
 def lit(x) -> str:
     return str(x) if isinstance(x, int | float) else "'" + str(x).replace("'", "''") + "'"

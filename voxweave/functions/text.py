@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from voxweave.functions import numerals, scripts
+import re
+
+from voxweave.functions import numerals
 from voxweave.functions.dialect import Spark, lit
 
 WORD_OR_MARK = "[A-Za-z0-9À-ɏ぀-ヿ가-힣]+|[!-/:-@\\[-`{-~、。]"
@@ -36,10 +38,44 @@ def unit_reading(d: Spark, n: str, unit: str) -> str:
     return f"concat(case when {unit} in ({natives}) then {numerals.native_count(d, n)} else {numerals.sino(d, n)} end, case {unit} {said} else {unit} end)"
 
 
-def counter_liaison(d: Spark, n: str) -> str:
-    """Katakana of 1 to 10 with the counter ホン (long things), after sound changes."""
-    return d.at(d.array(["イッポン", "ニホン", "サンボン", "ヨンホン", "ゴホン", "ロッポン", "ナナホン", "ハッポン", "キュウホン", "ジュッポン"]), n)
+def dictionary(d: Spark, x: str, table: dict[str, str]) -> str:
+    """x with every entry replaced in one pass from left to right, the longest entry first; nothing is replaced twice.
+
+    Entries are taken as plain text; an empty table or text changes nothing, null gives null.
+    """
+    if not table:
+        return x
+    keys = sorted(table, key=lambda k: (-len(k), k))
+    found = "|".join(re.sub(r"[^\w ]", lambda m: "\\x27" if m[0] == "'" else "\\" + m[0], k) for k in keys)
+    own = "case x " + " ".join(f"when {lit(k)} then {lit(table[k])}" for k in keys) + " else x end"
+    return d.join(d.map(d.find(x, f"{found}|(?s:.)"), "x", own), "")
+
+
+def by_case(d: Spark, x: str, exact: dict[str, str], upper: dict[str, str]) -> str:
+    """The reading of a word: its exact entry, else that of its upper-case form, else the word."""
+    whens = lambda t: " ".join(f"when {lit(k)} then {lit(v)}" for k, v in t.items())
+    return f"coalesce(case {x} {whens(exact)} end, case upper({x}) {whens(upper)} end, {x})"
+
+
+def apply_spans(d: Spark, x: str, spans: str) -> str:
+    """x with spans replaced. spans: an array of (s, e, r), code points from 0 with exclusive ends, in order and without overlap."""
+    n = d.size("v")
+    last = f"case when k > 1 then {d.at('v', 'greatest(k - 1, 1)')}.e else 0 end"
+    pieces = d.map(d.upto(n), "k", f"concat(substring({x}, cast({last} + 1 as int), cast({d.at('v', 'k')}.s - {last} as int)), {d.at('v', 'k')}.r)")
+    tail = f"substring({x}, cast({d.at('v', n)}.e + 1 as int))"
+    return d.let("v", spans, f"case when {n} = 0 then {x} else concat({d.join(pieces, '')}, {tail}) end")
+
+
+#: Endings that close a sentence (EF) or join clauses (EC), and particles (JX, JKB); the first that fits is taken.
+ENDINGS = {"EF": "(니다|니까|어요|아요|해요|네요|세요|다|까)[.!?]?$", "EC": "(고|며|면서|지만|는데|니까|아서|어서|해서|면)$", "JKB": "(에서|에게|에|으로|로|와|과)$", "JX": "(은|는|도|만|까지|부터)$"}
+
+
+def ending(d: Spark, word: str) -> str:
+    """The label of a word's ending by its last syllables; NONE if no rule fits."""
+    return "case " + " ".join(f"when {d.like(word, p)} then '{k}'" for k, p in ENDINGS.items()) + " else 'NONE' end"
 
 
-def romaji(d: Spark, x: str) -> str:
-    return scripts.lookup(d, x, scripts.ROMAJI)
+def pause(d: Spark, word: str) -> str:
+    """The pause after a word: P3 at the end of a sentence, P2 after a comma or a joining ending, P1 after 은 and 는, else NONE."""
+    label = ending(d, word)
+    return f"case when {d.like(word, '[.!?]$')} or {label} = 'EF' then 'P3' when {d.like(word, '[,;:]$')} or {label} = 'EC' then 'P2' when {d.like(word, '(은|는)$')} then 'P1' else 'NONE' end"

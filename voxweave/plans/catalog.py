@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from voxweave.functions import kana as J
 from voxweave.functions import numerals as N
+from voxweave.functions import phonology as P
 from voxweave.functions import scripts as S
 from voxweave.functions import text as T
 from voxweave.functions.dialect import Spark, lit
@@ -35,10 +37,12 @@ over("native_numeral", "part", "p_partkey", reading=lambda d: N.native(d, "cast(
 over("native_count", "part", "p_partkey", reading=lambda d: N.native_count(d, "cast(p_size * 2 as bigint)"))
 over("int_to_ja", "orders", "o_orderkey", reading=lambda d: N.kanji(d, KEY))
 over("int_to_kata", "orders", "o_orderkey", reading=lambda d: N.katakana(d, KEY))
+DATED = lambda d: f"concat({N.sino(d, 'cast(year(o_orderdate) as bigint)')}, '년 ', {MONTH.format(N.sino(d, 'cast(month(o_orderdate) as bigint)'))}, '월 ', {N.sino(d, 'cast(day(o_orderdate) as bigint)')}, '일 서울의 날씨는 매우 맑고 기온은 ', {N.sino(d, 'cast(o_orderkey % 40 as bigint)')}, '도입니다.')"
+over("phonology_ko", "orders", "o_orderkey", phonology=lambda d: P.phonology(d, DATED(d)))
 over("ja_minutes", "events", "event_id", reading=lambda d: N.minutes(d, "cast(minute(ts) as bigint)"))
 over("ja_datetime", "orders", "o_orderkey", reading=lambda d: f"concat({N.kanji(d, 'cast(year(o_orderdate) as bigint)')}, '年', {N.kanji(d, 'cast(month(o_orderdate) as bigint)')}, '月', {N.kanji(d, 'cast(day(o_orderdate) as bigint)')}, '日')")
 over("ja_numbers", "customer", "c_custkey", reading=lambda d: f"concat('番号', {N.katakana(d, 'cast(c_custkey as bigint)')})")
-over("ja_counter_liaison", "part", "p_partkey", reading=lambda d: T.counter_liaison(d, "p_size % 10 + 1"))
+over("ja_counter_liaison", "part", "p_partkey", reading=lambda d: J.counter_liaison(d, "(p_size % 10 + 1)", d.at(d.array(list(J.COUNTERS)), f"p_partkey % {len(J.COUNTERS)} + 1")))
 over("ko_time_reading", "events", "event_id", reading=lambda d: f"concat(case when hour(ts) < 12 then '오전 ' else '오후 ' end, {N.native(d, 'cast((hour(ts) + 11) % 12 + 1 as bigint)')}, '시 ', {N.sino(d, 'cast(minute(ts) as bigint)')}, '분')")
 MONTH = "case month(o_orderdate) when 6 then '유' when 10 then '시' else {} end"
 over("ko_date_reading", "orders", "o_orderkey", reading=lambda d: f"concat({N.sino(d, 'cast(year(o_orderdate) as bigint)')}, '년 ', {MONTH.format(N.sino(d, 'cast(month(o_orderdate) as bigint)'))}, '월 ', {N.sino(d, 'cast(day(o_orderdate) as bigint)')}, '일')")
@@ -102,17 +106,30 @@ over("jamo_names", "region", "r_regionkey", read=lambda d: S.lookup(d, d.at(d.ar
 KATA = lambda d: N.katakana(d, KEY)
 over("kata2hira", "orders", "o_orderkey", hiragana=lambda d: f"translate({KATA(d)}, '{S.KATAKANA}', '{S.HIRAGANA}')")
 over("hira2kata", "orders", "o_orderkey", katakana=lambda d: f"translate(translate({KATA(d)}, '{S.KATAKANA}', '{S.HIRAGANA}'), '{S.HIRAGANA}', '{S.KATAKANA}')")
-over("romaji", "orders", "o_orderkey", latin=lambda d: T.romaji(d, KATA(d)))
+over("romaji", "orders", "o_orderkey", latin=lambda d: J.romaji(d, KATA(d)))
+over("ja_ipa", "orders", "o_orderkey", ipa=lambda d: J.ipa(d, KATA(d)))
 over("ja_punct", "customer", "c_custkey", plain=lambda d: "translate(concat(c_mktsegment, '、', c_name, '。！？（）'), '、。！？（）', ',.!?()')")
-over("apply_spans", "documents", "doc_id", spliced=lambda d: d.sub("text", "[0-9]+", "<num>"))
-over("dict_substitution", "documents", "doc_id", replaced=lambda d: "replace(replace(text, 'Apache License', '아파치 라이선스'), 'License', '라이선스')")
-over("dict_exact_then_upper", "nation", "n_nationkey", reading=lambda d: "coalesce(case n_name when 'nation1' then 'exact' end, case upper(n_name) when 'NATION1' then 'upper' when 'NATION_2' then 'upper' end, n_name)")
+DICTIONARY = {"Apache License": "아파치 라이선스", "License": "라이선스", "the": "더", "there": "데어", "U.S.": "미국", "e.g.": "예"}
+over("dict_substitution", "documents", "doc_id", replaced=lambda d: T.dictionary(d, "text", DICTIONARY))
+over("dict_exact_then_upper", "nation", "n_nationkey", reading=lambda d: T.by_case(d, "n_name", {"nation1": "exact", "NATION_0": "exact"}, {"NATION1": "upper", "NATION_2": "upper"}))
+
+
+@plan
+def apply_spans(d: Spark) -> str:
+    """The first and the last word of every text are replaced."""
+    words = d.find("text", WORDS)
+    first, last = f"length({d.at('w', 1)})", f"length({d.at('w', d.size('w'))})"
+    spans = d.list(d.struct(s="0", e=first, r="'<first>'"), d.struct(s=f"length(t) - {last}", e="length(t)", r="'<last>'"))
+    return f"select conv_id, turn, {T.apply_spans(d, 't', spans)} spliced from (select conv_id, turn, trim(text) t, {words} w from @conversations) q where {d.size('w')} > 1"
+
+
 over("en_ssml_phoneme", "customer", "c_custkey", ssml=lambda d: f"concat('<phoneme alphabet=\"ipa\" ph=\"rɛd\">', {T.xml('c_name')}, '</phoneme>')")
-over("process_numeric_ko", "orders", "o_orderkey", normalized_text=lambda d: f"concat({N.sino(d, KEY)}, '번')", phonology=lambda d: S.neutral(d, f"concat({N.sino(d, KEY)}, '번')"))
-over("batch_invariance", "orders", "o_orderkey", phonology=lambda d: S.neutral(d, N.sino(d, KEY)))
+over("process_numeric_ko", "orders", "o_orderkey", normalized_text=lambda d: f"concat({N.sino(d, KEY)}, '번')", phonology=lambda d: P.phonology(d, f"concat({N.sino(d, KEY)}, '번')"))
+over("batch_invariance", "orders", "o_orderkey", phonology=lambda d: P.phonology(d, N.sino(d, KEY)))
 over("lang_list_parse", "region", "r_regionkey", langs=lambda d: d.join(d.keep(d.map(d.split(d.at(d.array(["ko, EN", " ja ,xx", "", "KO,ja,en", "zz"]), "r_regionkey + 1"), ","), "x", "lower(trim(x))"), "x", "x in ('ko', 'ja', 'en')"), ","))
 over("char_meta_flags", "documents", "doc_id", flags=lambda d: d.join(d.map(d.chars("text"), "c", f"case when {d.like('c', '[0-9]')} then '1' else '0' end"), ""))
-over("morph_ef_rule", "orders", "o_orderkey", pos=lambda d: f"case when {d.like(f'concat({N.sino(d, KEY)}, case when o_orderkey % 3 = 0 then {lit('입니다')} when o_orderkey % 3 = 1 then {lit('이고')} else {lit('은')} end)', '(니다|어요|다)$')} then 'EF' when o_orderkey % 3 = 1 then 'EC' else 'JX' end")
+SAID = "(select o_orderkey, concat({}, case o_orderkey % 5 when 0 then '입니다.' when 1 then '이고' when 2 then '은' when 3 then '에서' else '' end) w from @orders)"
+PLANS["morph_ef_rule"] = lambda d: f"select o_orderkey, {T.ending(d, 'w')} pos, {T.pause(d, 'w')} pause from {SAID.format(N.sino(d, KEY))} q"
 OPTIONS = "(select event_id, case event_id % 4 when 0 then '{{\"to_ipa\": true}}' when 1 then '{{\"to_ssml\": true, \"to_json\": false}}' when 2 then '{{}}' else '{{\"vowel_length\": true}}' end opts from @events)".replace("{{", "{").replace("}}", "}")
 PLANS["options_merge"] = lambda d: "select event_id, " + ", ".join(f"coalesce({d.json('opts', k)}, '{v}') {k}" for k, v in (("to_ipa", "false"), ("to_ssml", "false"), ("vowel_length", "false"), ("to_json", "true"))) + f" from {OPTIONS} q"
 over("result_json_roundtrip", "events", "event_id", k=lambda d: d.json("props", "k"))
@@ -131,7 +148,7 @@ def en_heteronym_lookup(d: Spark) -> str:
     return f"select w.doc_id, w.i, t.ipa from ({words}) w join {values([('the', 'ðə'), ('that', 'ðæt')], 'word, ipa')} t on w.x = t.word"
 
 
-TIERS = "case when x like '%.' or x like '%!' or x like '%?' then 'P3' when x like '%,' then 'P2' else 'NONE' end"
+TIERS = "case when x like '%.' or x like '%!' or x like '%?' then 'P3' when x like '%,' then 'P2' else 'NONE' end"  # no Korean there, so no endings
 
 
 def paused(d: Spark) -> str:
