@@ -66,6 +66,26 @@ def apply_spans(d: Spark, x: str, spans: str) -> str:
     return d.let("v", spans, f"case when {n} = 0 then {x} else concat({d.join(pieces, '')}, {tail}) end")
 
 
+def numbers(d: Spark, x: str) -> str:
+    """x with its numbers read in Korean: native before native counters, else Sino-Korean; over 18 digits, or with a leading 0, digit by digit."""
+    units = sorted([*UNITS, *NATIVE_UNITS], key=lambda u: (-len(u), u))
+    unit = "regexp_extract(x, '[^0-9.]*$', 0)"
+    digits = "regexp_extract(x, '^[0-9]+', 0)"
+    part = "regexp_extract(x, '[.]([0-9]+)', 1)"
+    n = f"cast({digits} as bigint)"
+    one_by_one = lambda t: d.join(d.map(d.chars(t), "y", d.at(d.array(["영", *numerals.DIGITS_KO[1:]]), "cast(y as int) + 1")), "")
+    natives = ", ".join(map(lit, NATIVE_UNITS))
+    whole = f"case when length({digits}) > 18 or ({digits} like '0%' and length({digits}) > 1) then {one_by_one(digits)} when {unit} in ({natives}) and {part} = '' then {numerals.native_count(d, n)} else {numerals.sino(d, n)} end"
+    said = " ".join(f"when {lit(k)} then {lit(v)}" for k, v in UNITS.items())
+    own = f"case when {d.like('x', '^[0-9]')} then concat({whole}, case when {part} = '' then '' else concat(' 점 ', {one_by_one(part)}) end, case {unit} {said} else {unit} end) else x end"
+    return d.join(d.map(d.find(x, f"[0-9]+([.][0-9]+)?({'|'.join(units)})?|[^0-9]+"), "x", own), "")
+
+
+def normalize_ko(d: Spark, x: str) -> str:
+    """Symbols, then numbers and units, then words of mixed case, then blanks."""
+    return whitespace(d, camel(d, numbers(d, symbols(d, x))))
+
+
 #: Endings that close a sentence (EF) or join clauses (EC), and particles (JX, JKB); the first that fits is taken.
 ENDINGS = {"EF": "(니다|니까|어요|아요|해요|네요|세요|다|까)[.!?]?$", "EC": "(고|며|면서|지만|는데|니까|아서|어서|해서|면)$", "JKB": "(에서|에게|에|으로|로|와|과)$", "JX": "(은|는|도|만|까지|부터)$"}
 

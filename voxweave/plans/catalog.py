@@ -95,7 +95,8 @@ over("pretokenize_counts", "documents", "doc_id", n=lambda d: d.size(d.find("tex
 over("number_spans", "documents", "doc_id", numbers=lambda d: d.join(d.find("text", "[0-9]+"), ","), n=lambda d: d.size(d.find("text", "[0-9]+")))
 over("whitespace_final", "documents", "doc_id", final=lambda d: T.whitespace(d, "text"))
 over("preprocess_symbols", "documents", "doc_id", clean=lambda d: T.symbols(d, "text"))
-over("normalize_pipeline", "documents", "doc_id", normalized=lambda d: T.whitespace(d, T.camel(d, T.symbols(d, "text"))))
+over("normalize_pipeline", "documents", "doc_id", normalized=lambda d: T.normalize_ko(d, "text"))
+over("numbers_in_text", "orders", "o_orderkey", said=lambda d: T.numbers(d, "concat('a ', o_orderkey, '번, ', cast(o_orderkey as bigint) % 60, '시 ', o_orderkey, '.05km 007 ', o_orderkey, o_orderkey, o_orderkey, o_orderkey, o_orderkey, '!')"))
 over("camel_split", "events", "event_id", words=lambda d: T.camel(d, "concat(event_type, 'By', 'User')"))
 over("spell_word", "nation", "n_nationkey", spelled=lambda d: S.letters(d, "n_name"))
 over("readable_chunk", "part", "p_partkey", readable=lambda d: d.like("lower(p_name)", "[aeiouy]"))
