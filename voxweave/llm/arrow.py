@@ -27,7 +27,7 @@ def _trim() -> None:
         libc.malloc_trim(0)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 500_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) for runs of whole rows with about `most` bytes of text; null counts as empty.
 
     A text longer than `most` is a piece of its own. bytes is the UTF-8 of the texts without gaps.
