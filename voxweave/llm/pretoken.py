@@ -7,6 +7,7 @@ array operations. Distinct tokens are then found by Arrow's dictionary encoding
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Callable
 from functools import cache
@@ -128,6 +129,7 @@ _OPEN: dict[str, Words] = {}
 def library(path: str) -> Words:
     """Tokens encoded by the tokenizers library; one store a worker."""
     if path not in _OPEN:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads only add CPU time
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
