@@ -27,6 +27,15 @@ def _trim() -> None:
         libc.malloc_trim(0)
 
 
+def runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """[a, b) for runs of whole texts with about `most` bytes; a longer text is a run of its own."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield at, end
+        at = end
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 500_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) for runs of whole rows with about `most` bytes of text; null counts as empty.
 
@@ -41,11 +50,8 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 500_000) -> Iterator[
         return
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + n + 1]
     data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+    for at, end in runs(offsets, most):
         yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
-        at = end
     _trim()
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from voxweave.llm.arrow import pieces, small_batches
-from voxweave.llm.pretoken import SPECIAL, Words, vocabulary
+from voxweave.llm.pretoken import PIECE, SPECIAL, Words, vocabulary
 
 
 def byte_letters() -> dict[str, int]:
@@ -137,7 +137,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = opened(path)
         for batch in batches:
-            for rows, data, offsets in pieces(batch, "text"):
+            for rows, data, offsets in pieces(batch, "text", PIECE):
                 kinds, code, first = own.words.lookup(data, offsets)
                 lists = [np.frombuffer(k, np.uint32).tolist() for k in kinds]
                 said = [",".join(map(str, x)).encode() for x in lists]

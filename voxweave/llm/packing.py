@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxweave.llm.arrow import pieces, small_batches
 from voxweave.llm.common import buckets, cut, prefix_sum
-from voxweave.llm.pretoken import library, vocabulary
+from voxweave.llm.pretoken import PIECE, library, vocabulary
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
@@ -36,7 +36,7 @@ def pack(docs: DataFrame, most: int = 2048, end_id: int = 1, path: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = library(path)
         for batch in batches:
-            for rows, data, offsets in pieces(batch, "text"):
+            for rows, data, offsets in pieces(batch, "text", PIECE):
                 flat, at = own.ids(data, offsets)
                 doc, start, size, crc, total, tokens = [], [], [], [], [], []
                 for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 from collections.abc import Callable
 from functools import cache
 
@@ -17,10 +18,16 @@ import pyarrow as pa
 import regex
 from tokenizers.pre_tokenizers import ByteLevel
 
+from voxweave.llm.arrow import runs
+
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Unicode White_Space (fixed values).
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPECIAL = b"<|endoftext|>"
+#: Bytes of text whose tokens are looked up together, and bytes whose boundaries are found together (many arrays a byte).
+PIECE, STEP = 2_000_000, 500_000
+#: Longer tokens are not stored; so many are encoded at a time.
+LONGEST, AT_ONCE = 64, 10_000
 
 
 @cache
@@ -96,26 +103,34 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Words:
     """Ids of whole pieces through a store of the distinct tokens met so far, which is emptied when it is full."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 600_000):
         self.encode, self.most, self.store = encode, most, {}
 
     def lookup(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(ids of each distinct token as little-endian uint32, tokens as numbers of these, first token of each text)."""
-        starts = boundaries(data, offsets)
+        found = [boundaries(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) + offsets[a] for a, b in runs(offsets, STEP)]
+        starts = np.concatenate(found) if found else np.zeros(0, np.int64)
         edge = np.append(starts, len(data)).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         kinds = words.dictionary.to_pylist()
-        if len(self.store) > self.most:
+        out = list(map(self.store.get, kinds))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if len(self.store) + len(missing) > self.most:
             self.store.clear()
-        new = [w for w in kinds if w not in self.store]
-        self.store.update(zip(new, self.encode(new), strict=True))
-        return [self.store[w] for w in kinds], words.indices.to_numpy(), np.searchsorted(starts, offsets)
+        for at in range(0, len(missing), AT_ONCE):
+            part = missing[at : at + AT_ONCE]
+            new = [kinds[i] for i in part]
+            for i, w, x in zip(part, new, self.encode(new), strict=True):
+                out[i] = x
+                if len(w) <= LONGEST:
+                    self.store[w] = x
+        return out, words.indices.to_numpy(), np.searchsorted(starts, offsets)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of each text's ids)."""
         kinds, code, first = self.lookup(data, offsets)
         flat = np.frombuffer(b"".join(kinds), np.uint32)
-        size = np.array([len(k) // 4 for k in kinds], np.int64)
+        size = np.fromiter(map(len, kinds), np.int64, len(kinds)) // 4
         begin = np.cumsum(size) - size
         n = size[code] if len(code) else np.zeros(0, np.int64)
         end = np.concatenate([[0], np.cumsum(n)])
@@ -138,7 +153,7 @@ def library(path: str) -> Words:
 
         def encode(words: list[bytes]) -> list[bytes]:
             got = own.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            return [np.array(e.ids, np.uint32).tobytes() for e in got]
+            return [array("I", e.ids).tobytes() for e in got]
 
         _OPEN[path] = Words(encode)
     return _OPEN[path]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from voxweave.llm.arrow import pieces, small_batches
 from voxweave.llm.common import cut
-from voxweave.llm.pretoken import library, vocabulary
+from voxweave.llm.pretoken import PIECE, library, vocabulary
 
 MAGIC, VERSION, BLOCK, SEGMENT = b"VXR1", 1, 2048, 2_000_000
 SLOTS = 2048  # of the order-1 and order-2 tables of a block
@@ -259,7 +259,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocab: str | None = None,
             return out
 
         for batch in batches:
-            for rows, data, offsets in pieces(batch, "text"):
+            for rows, data, offsets in pieces(batch, "text", PIECE):
                 flat, at = own.ids(data, offsets)
                 n = np.diff(at)
                 held.append(np.insert(flat, at[1:], end_id))
