@@ -159,6 +159,24 @@ def test_vectors(spark):
     assert all(got[i].component_id == min([i, *links.get(i, [])]) for i in got if len(links.get(i, [])) < 2)
 
 
+def crowd(n, share, dims=64):
+    """Vectors with a share of near copies: each at a cosine of 0.94 to 0.98 to one centre."""
+    g = np.random.default_rng(11)
+    v, c, hot = g.normal(size=(n, dims)), np.eye(dims)[0], int(n * share)
+    w = v[:hot] - (v[:hot] @ c)[:, None] * c
+    x = g.uniform(0.94, 0.98, hot)[:, None]
+    v[:hot] = x * c + np.sqrt(1 - x * x) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    return v[g.permutation(n)]
+
+
+def test_vectors_of_a_large_near_copy_group(spark):
+    v = crowd(6000, 0.33)
+    rows = [(i, 1, x.tolist()) for i, x in enumerate(v)]
+    got = {r.vec_id: r.n_links for r in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    u = pivots.unit(v)
+    assert [got[i] for i in range(len(v))] == ((u @ u.T >= 0.93).sum(1) - 1).tolist()
+
+
 def test_licenses(docs):
     got = by_id(licenses.scan(docs))
     assert got[len(TEXTS) - 1].licenses == "MIT" and got[0].licenses == "" and got[0].n_sentences == 0
