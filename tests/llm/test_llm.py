@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -182,6 +183,33 @@ def test_licenses(docs):
     assert got[len(TEXTS) - 1].licenses == "MIT" and got[0].licenses == "" and got[0].n_sentences == 0
 
 
+MIT = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."]
+APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
+GPL = ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."]
+BSD = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+NOTICES = [
+    ("MIT", ["Released under the MIT License."]), ("MIT", ["Licensed under the MIT License."]), ("MIT", MIT), ("MIT", ["The MIT License (MIT)", "Copyright (c) 2020 A. Body", MIT[0]]),
+    ("Apache-2.0", ["Licensed under the Apache License, Version 2.0."]), ("Apache-2.0", [APACHE]), ("Apache-2.0", [APACHE + " You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0"]),
+    ("GPL-3.0", ["This work is licensed under the GNU General Public License, version 3."]), ("GPL-3.0-or-later", GPL), ("GPL-2.0-or-later", [GPL[0].replace("software: you", "software; you").replace("version 3", "version 2"), GPL[1]]),
+    ("BSD-2-Clause", BSD), ("BSD-3-Clause", [*BSD, "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]),
+    ("CC-BY-NC-4.0", ["Licensed under CC BY-NC 4.0."]), ("CC-BY-4.0", ["Licensed under CC BY 4.0."]), ("CC-BY-SA-4.0", ["Licensed under CC BY-SA 4.0."]),
+    ("MPL-2.0", ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."]),
+]
+
+
+def test_every_license_rule_with_its_wrapped_notice(spark):
+    forms = []
+    for width in (30, 72, 10**6):
+        for comment, between in (("", "\n\n"), (" * ", "\n *\n"), ("# ", "\r\n"), ("// ", "\n")):
+            forms += [(name, "int x;\n" + between.join("\n".join(comment + line for line in textwrap.wrap(p, width)) for p in parts) + "\n\nint y;") for name, parts in NOTICES]
+    assert {name for name, _ in NOTICES} == {name for name, _ in licenses.RULES}
+    got = by_id(licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id long, text string")))
+    assert [got[i].licenses for i in range(len(forms))] == [name for name, _ in forms]
+    # A sentence on a line of its own, without a full stop, and one inside a longer sentence.
+    lines = spark.createDataFrame([(0, "a\nLicensed under CC BY 4.0\nb"), (1, "It is not licensed under CC BY 4.0 yet.")], "doc_id long, text string")
+    assert [r.licenses for r in licenses.scan(lines).orderBy("doc_id").collect()] == ["CC-BY-4.0", ""]
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     for f in (recipes.exact_dedup, sharding.shard, secrets.scan, bpe.round_trip, packing.pack, licenses.scan, lambda d: jaccard.near_components(d, 3, 90, 100)):

@@ -1,7 +1,8 @@
 """Licence recognition by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences, each is normalised (lower case, runs of other characters than letters and
-digits to one blank), known licence sentences become their identifiers, and the sequence of identifiers
+A text is cut into pieces at line ends and marks, each is normalised (lower case, runs of other characters
+than letters and digits to one blank), and runs of pieces that make up a known licence sentence become its
+identifier: notices are wrapped at any word and have marks inside their sentences. The sequence of identifiers
 is matched against ordered rules. Sentences that are not known stand between without breaking a rule.
 """
 
@@ -51,12 +52,17 @@ END = r"[\n\r]+|[.!?;:]+([ \t\n\r]+|$)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Where pieces begin, a known sentence over one or more of them, the longest first.
+KNOWN = "\x01(?:" + "|".join(s.replace(" ", "[ \x01]") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + ")(?=\x01)"
+
+
 def sentence_ids(text: Column) -> Column:
-    """The identifiers of a text's known sentences, in order. "2.0" does not end a sentence; a dot before white space does."""
+    """The identifiers of a text's known sentences, in order. They begin and end where pieces do; "2.0" does not end a piece."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     flat = F.regexp_replace(F.regexp_replace(low, END, "\x01"), "[^a-z0-9\x01]+", " ")
+    flat = F.regexp_replace(F.concat(F.lit("\x01"), flat, F.lit("\x01")), " *\x01[ \x01]*", "\x01")
     known = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (s, k)))
-    found = F.filter(F.transform(F.split(flat, "\x01"), lambda s: known[F.trim(s)]), lambda i: i.isNotNull())
+    found = F.transform(F.regexp_extract_all(flat, F.lit(KNOWN), F.lit(0)), lambda s: known[F.trim(F.translate(s, "\x01", " "))])
     return F.when(low.rlike("|".join(ANCHORS)), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -78,7 +84,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB."""
+    """The same in DuckDB for sentences of one piece; it does not join pieces."""
     known = "map([" + ", ".join(f"'{s}'" for s in SENTENCES.values()) + "], [" + ", ".join(f"'{k}'" for k in SENTENCES) + "])"
     hit: dict[str, str] = {}
     for name, rule in RULES:
