@@ -89,6 +89,19 @@ def test_one_group_over_all_shards(spark):
     assert sorted(np.bincount([r.shard for r in rows])) == [12] * 4 + [13] * 4
 
 
+@pytest.mark.parametrize("hot, pairs", [(0.33, 0.33), (0.33, 0.5), (0, 0.9)])
+def test_pairs_are_not_cut(spark, hot, pairs):
+    n = 6000
+    a, b = int(n * hot), int(n * (hot + pairs))
+    text = F.when(F.col("id") < a, "hot").when(F.col("id") < b, F.concat(F.lit("p"), F.floor((F.col("id") - a) / 2))).otherwise(F.col("id").cast("string"))
+    rows = sharding.shard(spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))).collect()
+    sizes = np.bincount([r.shard for r in rows])
+    assert len(rows) == n and sorted(set(sizes)) == [n // 8]
+    at = {r.doc_id: r.shard for r in rows}
+    assert sum(at[i] != at[i + 1] for i in range(a, b - 1, 2)) == 0
+    assert len({at[i] for i in range(a)}) <= 3
+
+
 def test_secrets(docs):
     got = by_id(secrets.scan(docs))
     n = len(TEXTS)

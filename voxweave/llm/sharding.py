@@ -3,8 +3,9 @@
 Documents of equal text are linked, and linked documents of one shard are alike, so the state is one row
 for each (text, shard) with its number of documents: at most one row a shard for the largest group.
 Each round, rows move to the shard that holds most of their neighbours and has room, by exact quotas
-taken from prefix sums. Then shards are filled to counts at most one apart with documents that have no
-links, so that only groups which exceed a shard, or meet a full one, are cut.
+taken from prefix sums. Then groups are settled within counts at most one apart: what is still cut, or over a
+shard's count, moves whole to where room is, and documents without links fill the rest, so that
+only groups are cut which exceed a shard or find no shard with room for all of them.
 """
 
 from __future__ import annotations
@@ -52,6 +53,65 @@ def propagate(state: DataFrame, shards: int, most: int, rounds: int = 6) -> Data
     return state
 
 
+def _spread(groups: list, free: list[int]) -> list[tuple]:
+    """Places (KEY, label, n) rows for groups (KEY, {label: n}), the largest first; takes their room from free.
+
+    A group goes to the shard that holds most of it, else to the one with most room; if none has room for all, it is cut.
+    """
+    out = []
+    for key, held in sorted(groups, key=lambda g: (-sum(g[1].values()), g[0])):
+        rest = sum(held.values())
+        order = sorted(range(len(free)), key=lambda s: (-held.get(s, 0), -free[s], s))
+        whole = [s for s in order if free[s] >= rest]
+        if whole and whole[0] not in held:
+            whole.sort(key=lambda s: (-free[s], s))
+        for s in whole[:1] or order:
+            n = min(rest, free[s])
+            if n > 0:
+                out.append((*key, s, n))
+                free[s] -= n
+                rest -= n
+    return out
+
+
+def settle(state: DataFrame, goal: list[int]) -> DataFrame:
+    """state: KEY, label, n. No shard holds more than its goal, and groups that fit are whole.
+
+    Groups over a 64th of a shard are few (64 a shard at most) and placed on the driver. Smaller ones stay where they are whole
+    and have room; the others are laid along the room that is left, by prefix sums. At most one a shard
+    lies across an end; these are placed on the driver.
+    """
+    spark, shards = state.sparkSession, len(goal)
+    limit = max(1, max(goal) // 64)
+    groups = state.groupBy(*KEY).agg(F.sum("n").alias("n"), F.min("label").alias("label"), F.max("label").alias("last"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("held"))
+    groups = cut(groups.withColumn("bucket", F.pmod("h", F.lit(997)).cast("int")), "groups")
+    given = "h long, text_crc32 long, size long, label int, n long"
+
+    def placed(rows: DataFrame, free: list[int]) -> DataFrame:
+        own = [(tuple(r[k] for k in KEY), r["held"]) for r in rows.select(*KEY, "held").collect()]
+        return spark.createDataFrame(_spread(own, free), given)
+
+    free = list(goal)
+    large = placed(groups.where(F.col("n") > limit), free)
+    small = groups.where(F.col("n") <= limit)
+    room = F.element_at(F.array(*(F.lit(x) for x in free)), F.col("label") + 1)
+    calm = prefix_sum(small.where("label = last"), ["label"], "bucket", KEY, "n", "before").withColumn("stays", F.col("before") + F.col("n") <= room)
+    calm = cut(calm.drop("before").unionByName(small.where("label < last").withColumn("stays", F.lit(False))), "calm")
+    stay = calm.where("stays").select(*KEY, "label", "n")
+    free = [f - x for f, x in zip(free, _loads(stay, shards))]
+    ends = [sum(free[: s + 1]) for s in range(shards)]
+    laid = prefix_sum(calm.where("not stays"), [], "bucket", KEY, "n", "before")
+    to = F.lit(None).cast("int")
+    for s in reversed(range(shards)):
+        inside = (F.col("before") >= ends[s] - free[s]) & (F.col("before") + F.col("n") <= ends[s])
+        to = F.when(inside, F.lit(s)).otherwise(to)
+    laid = cut(laid.withColumn("to", to), "laid")
+    fits = laid.where("to is not null").select(*KEY, F.col("to").alias("label"), "n")
+    free = [f - x for f, x in zip(free, _loads(fits, shards))]
+    across = placed(laid.where("to is null"), free)
+    return cut(large.union(stay).union(fits).union(across), "settled")
+
+
 def shard(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -67,23 +127,14 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     state = cut(state0.join(sizes.where("total > 1").drop("total"), KEY), "state")
     state = propagate(state, shards, -(-total // shards), rounds)
 
-    # What a shard holds over its exact count leaves it; the freed and the unlinked documents fill the rest in order.
+    # The unlinked documents fill the rest in order.
     goal = [total // shards + (s < total % shards) for s in range(shards)]
-    state = cut(state.withColumn("bucket", F.pmod("h", F.lit(997)).cast("int")), "state")
-    held = prefix_sum(state, ["label"], "bucket", KEY, "n", "before")
-    room = F.element_at(F.array(*(F.lit(x) for x in goal)), F.col("label") + 1)
-    held = held.withColumn("stay", F.least(F.col("n"), F.greatest(F.lit(0), room - F.col("before"))).cast("long"))
-    held = cut(held.select(*KEY, "bucket", "label", "n", "stay"), "held")
-    load = _loads(held.select("label", F.col("stay").alias("n")), shards)
+    final = settle(state, goal)
+    load = _loads(final, shards)
     gaps, at = [], 0
     for s in range(shards):
         gaps.append((at, at := at + goal[s] - load[s]))
-    over = prefix_sum(held.where("stay < n").select(*KEY, "bucket", "label", (F.col("n") - F.col("stay")).alias("n")), [], "bucket", [*KEY, "label"], "n", "before")
-    pieces = F.array(*(F.struct(F.lit(s).alias("label"), (F.least(F.col("before") + F.col("n"), F.lit(hi)) - F.greatest(F.col("before"), F.lit(lo))).cast("long").alias("n")) for s, (lo, hi) in enumerate(gaps)))
-    over = over.select(*KEY, F.inline(pieces)).where("n > 0")
-    final = held.select(*KEY, "label", F.col("stay").alias("n")).where("n > 0").union(over.select(*KEY, "label", "n"))
-    final = final.groupBy(*KEY, "label").agg(F.sum("n").alias("n")).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("parts"), F.sum("n").alias("total"))
-    freed = sum(r for (r,) in held.select(F.coalesce(F.sum(F.col("n") - F.col("stay")), F.lit(0)).alias("r")).collect())
+    final = final.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("parts"), F.sum("n").alias("total"))
 
     rows = cut(base.join(final, KEY, "left").withColumn("bucket", F.pmod("mix", F.floor(F.coalesce(F.col("total"), F.lit(total)) / 20_000) + 1)), "linked")
     linked = prefix_sum(rows.where("parts is not null").withColumn("one", F.lit(1)), KEY, "bucket", ["mix", "doc_id"], "one", "rank")
@@ -92,7 +143,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     alone = prefix_sum(rows.where("parts is null").withColumn("one", F.lit(1)), [], "bucket", ["mix", "doc_id"], "one", "rank")
     pick = F.lit(0)
     for s, (lo, hi) in enumerate(gaps):
-        pick = F.when((F.col("rank") + freed >= lo) & (F.col("rank") + freed < hi), s).otherwise(pick)
+        pick = F.when((F.col("rank") >= lo) & (F.col("rank") < hi), s).otherwise(pick)
     alone = alone.select("doc_id", "size", "text_crc32", "mix", pick.alias("shard"))
     placed = cut(linked.union(alone).withColumn("one", F.lit(1)).withColumn("bucket", F.pmod("mix", F.lit(buckets(total)))), "placed")
     out = prefix_sum(placed, ["shard"], "bucket", ["mix", "doc_id"], "one", "slot")
