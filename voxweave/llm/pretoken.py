@@ -8,6 +8,7 @@ array operations. Distinct tokens are then found by Arrow's dictionary encoding
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable
@@ -25,7 +26,7 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPECIAL = b"<|endoftext|>"
 #: Bytes of text whose tokens are looked up together, and bytes whose boundaries are found together (many arrays a byte).
-PIECE, STEP = 2_000_000, 500_000
+PIECE, STEP = 4_000_000, 500_000
 #: Longer tokens are not stored; so many are encoded at a time.
 LONGEST, AT_ONCE = 64, 10_000
 
@@ -101,10 +102,10 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Ids of whole pieces through a store of the distinct tokens met so far, which is emptied when it is full."""
+    """Ids of whole pieces through a store of distinct tokens. When a half is full, the half that was filled before it goes; what is still met there moves on."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 600_000):
-        self.encode, self.most, self.store = encode, most, {}
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 800_000):
+        self.encode, self.most, self.store, self.old = encode, most, {}, {}
 
     def lookup(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(ids of each distinct token as little-endian uint32, tokens as numbers of these, first token of each text)."""
@@ -112,11 +113,19 @@ class Words:
         starts = np.concatenate(found) if found else np.zeros(0, np.int64)
         edge = np.append(starts, len(data)).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        kinds = words.dictionary.to_pylist()
+        _, edges, raw = words.dictionary.buffers()
+        raw = raw.to_pybytes() if raw is not None else b""
+        edges = np.frombuffer(edges, np.int64)[: len(words.dictionary) + 1].tolist() if len(words.dictionary) else [0]
+        kinds = [raw[a:b] for a, b in zip(edges, edges[1:])]
         out = list(map(self.store.get, kinds))
-        missing = [i for i, x in enumerate(out) if x is None]
-        if len(self.store) + len(missing) > self.most:
-            self.store.clear()
+        missing, old = [], self.old
+        for i in [i for i, x in enumerate(out) if x is None]:
+            if (x := old.get(kinds[i])) is None:
+                missing.append(i)
+            else:
+                out[i] = self.store[kinds[i]] = x
+        if len(self.store) + len(missing) > self.most // 2:
+            self.old, self.store = self.store, {}
         for at in range(0, len(missing), AT_ONCE):
             part = missing[at : at + AT_ONCE]
             new = [kinds[i] for i in part]
@@ -141,8 +150,16 @@ class Words:
 _OPEN: dict[str, Words] = {}
 
 
+#: A blank and letters up to U+023F: such tokens, put together, are split into just these again.
+PLAIN = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+")
+
+
 def library(path: str) -> Words:
-    """Tokens encoded by the tokenizers library; one store a worker."""
+    """Tokens encoded by the tokenizers library; one store a worker.
+
+    A call for each token costs several times its merges, so plain tokens go to the library as one text, and the
+    ids are dealt to the tokens by the bytes that they stand for.
+    """
     if path not in _OPEN:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads only add CPU time
         from tokenizers import Tokenizer
@@ -150,11 +167,30 @@ def library(path: str) -> Words:
         own = Tokenizer.from_file(path)
         own.no_truncation()
         own.no_padding()
+        words = own.get_vocab()
+        size = np.zeros(max(words.values()) + 1, np.int64)
+        for word, i in words.items():
+            size[i] = len(word)  # a letter a byte
 
-        def encode(words: list[bytes]) -> list[bytes]:
+        def each(words: list[bytes]) -> list[bytes]:
             got = own.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
             return [array("I", e.ids).tobytes() for e in got]
 
+        def encode(words: list[bytes]) -> list[bytes]:
+            plain = [i for i, w in enumerate(words) if PLAIN.fullmatch(w)]
+            text = b"".join([words[i] for i in plain])
+            ids = np.array(own.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
+            end = np.cumsum(np.fromiter((len(words[i]) for i in plain), np.int64, len(plain)))
+            upto = np.cumsum(size[ids])
+            at = np.searchsorted(upto, end)
+            if len(plain) and not (at[-1] < len(ids) and (upto[at] == end).all()):
+                return each(words)  # some id crosses two tokens: not so with this pattern
+            raw, cut = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+            out = dict(zip(plain, (raw[a:b] for a, b in zip(cut, cut[1:]))))
+            rest = [i for i in range(len(words)) if i not in out]
+            out.update(zip(rest, each([words[i] for i in rest])))
+            return [out[i] for i in range(len(words))]
+
         _OPEN[path] = Words(encode)
     return _OPEN[path]
 
