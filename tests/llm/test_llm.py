@@ -141,10 +141,41 @@ def test_token_files(spark, docs, ids):
         at += len(x) + 1
 
 
+def test_token_files_of_null_and_repeated_ids(spark):
+    rows = [(3, "c"), (None, "n"), (1, "a"), (1, "a"), (None, None), (2, "")]
+    path = new_path(spark, "test")
+    rangecoder.write(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    got = rangecoder.read(spark.read.parquet(path)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 1, 1, 2, 3] and sorted(r.n_tokens for r in got) == [1, 1, 2, 2, 2, 2]
+    path = new_path(spark, "test")
+    rangecoder.write(spark.createDataFrame([], "doc_id long, text string"), path)
+    assert rangecoder.read(spark.read.parquet(path)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 257, 511, 512, 700, 5000, 8191, 40000])
+@pytest.mark.parametrize("most", [1, 50, 65536])
+def test_ids_round_trip(n, most):
+    g = np.random.default_rng(n + most)
+    for x in (g.integers(0, most, n), np.minimum(g.zipf(1.3, n), most) - 1, np.repeat(g.integers(0, most, 1 + n // 9), 9)[:n]):
+        for block in (256, 1 << 21):
+            got = rangecoder.decode(rangecoder.encode([1, None], [len(x), 0], x.astype(np.uint32), block))
+            assert (got[2] == x).all() and got[0] == [1, None]
+
+
+def test_mixed_predictions_beat_each_order_alone():
+    g = np.random.default_rng(4)
+    after, x = g.integers(0, 300, (300, 2)), [0]
+    for c in g.integers(0, 4, 60_000).tolist():
+        x.append(int(after[x[-1], c % 2]) if c else int(g.integers(0, 300)))
+    assert len(rangecoder.encode([1], [len(x)], np.array(x, np.uint32))) * 8 / len(x) < 6.5 < np.log2(300)  # order 0 alone
+
+
 def test_damage_is_found():
     x = np.random.default_rng(1).integers(0, 5000, 700).astype(np.uint32)
     good = rangecoder.encode([1], [700], x, 64)
     assert (rangecoder.decode(good)[2] == x).all()
+    with pytest.raises(ValueError):
+        rangecoder.decode(good[:-8])
     for at in (len(good) // 2, len(good) - 40):
         with pytest.raises(ValueError):
             rangecoder.decode(good[:at] + bytes([good[at] ^ 4]) + good[at + 1 :])

@@ -6,10 +6,12 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, tuple[SparkSession, str]] = {}
+#: Buckets of a prefix sum whose totals are summed together.
+UPPER = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,9 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="voxweave-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return "file://" + tempfile.mkdtemp(prefix="voxweave-")
 
 
 def _drop_all() -> None:
@@ -47,23 +47,53 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table in the shared folder and read back: later stages survive the loss of executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._written_at = path
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote, once their last reader has written its own result."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _before(df: DataFrame, group: list[str], order: str | list[str], value: str) -> Column:
+    """The sum of value over the rows before this one in its group."""
+    by = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    return F.coalesce(F.sum(value).over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def prefix_sum(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
     """Adds out: the sum of value over the rows before this one in its group, by (bucket, order).
 
-    No task sees more than one bucket of a group: each sums its own rows, and the buckets' totals
-    (one row a bucket) are summed apart. df is read twice, so it should be a written table.
+    No task sees more than one bucket of a group, or the totals of more than UPPER buckets: rows are summed in their
+    buckets, the buckets' totals in runs of UPPER, and only the runs' totals (a row for some 20 million rows) in
+    one task a group. df is read twice, so it should be a written table.
     """
-    total = df.groupBy(*group, bucket).agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    base = total.withColumn("_base", F.coalesce(F.sum("_total").over(before.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_total")
-    inner = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = df.withColumn("_own", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    total = df.groupBy(*group, bucket).agg(F.sum(value).alias("_total")).withColumn("_run", F.floor(F.col(bucket) / UPPER))
+    runs = total.groupBy(*group, "_run").agg(F.sum("_total").alias("_all"))
+    runs = runs.withColumn("_first", _before(runs, group, "_run", "_all")).drop("_all")
+    base = total.withColumn("_base", _before(total, [*group, "_run"], bucket, "_total")).join(runs, [*group, "_run"])
+    base = base.select(*group, bucket, (F.col("_base") + F.col("_first")).alias("_base"))
+    own = df.withColumn("_own", _before(df, [*group, bucket], order, value))
     return own.join(base, [*group, bucket]).withColumn(out, (F.col("_base") + F.col("_own")).cast("long")).drop("_base", "_own")
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with the columns of their group; groups (a written table) has a row a key and its number of rows.
+
+    Groups with over a 1000th of all rows, of which there are fewer than 1000, are joined by broadcast, so that the
+    rows of a hot group stay where they are; the others are joined by a shuffle.
+    """
+    most = (groups.agg(F.sum(count)).first()[0] or 0) // 1000 + 1
+    hot = F.broadcast(groups.where(F.col(count) > most))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(count) <= most), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def buckets(n: int, rows: int = 20_000) -> int:
     return max(1, -(-n // rows))
 
@@ -88,7 +118,8 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         seen = large.join(low, "u")
         small = seen.select("u", F.col("m").alias("v")).union(seen.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = cut(small.distinct(), "edges")
+        old, e = e, cut(small.distinct(), "edges")
+        release(old)
         if (now := _mark(e)) == mark:
             break
         mark = now
