@@ -11,10 +11,15 @@ later for its own set is among the first parts of both. So each set keeps its d
 parts of one set alone need not be kept at all: most sets have more than d of them and link with nothing. This
 is exact, and passages that many documents share make no candidates.
 
-Verification. Buckets are compared in blocks of bounded size by the Hamming distance of short parity
-sketches, which bounds the symmetric difference from below; a spanning forest of what passes is verified
-on the sets themselves. Then pairs that pass between sets not yet connected are verified too, so no link
-between components is lost while groups of near copies are not expanded into all pairs.
+Copies. A set is named by 64 bits of its text's words, so equal texts and repeated rows are one set
+from the start: a task sends a set once, and what several tasks send is made one before anything is joined.
+
+Verification. Buckets are compared in blocks of bounded size by the Hamming distance of parity sketches,
+which bounds the symmetric difference from below; a sketch has 16 bits and more for each shingle that may differ
+in its size band, so it stays sharp for long texts. First all sets of a bucket meet one of its blocks, and a
+spanning forest of what passes is verified on the sets themselves. Then sets outside their bucket's
+largest component meet all others of the bucket, so no link between components is lost, while a
+group of near copies costs in proportion to its size and is not expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -28,14 +33,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxweave.llm.arrow import pieces, small_batches, sums
-from voxweave.llm.common import components, cut
+from voxweave.llm.common import components, cut, release, spread_join
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-SKETCH, BLOCK, RATIO = 1024, 1024, 1.5
+BLOCK, RATIO = 1024, 1.5
+#: Bits of a sketch: the least, the most, and for each shingle that may differ.
+SKETCH, WIDEST, SHARP = 1024, 1 << 16, 16
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -124,9 +131,17 @@ def part_keys(h: np.ndarray, at: np.ndarray, bands: Bands) -> Iterator[tuple[int
         yield g, own, np.bincount(doc[new], minlength=len(own)), key
 
 
-def sketch(h: np.ndarray) -> bytes:
+def sketch(h: np.ndarray, bits: int) -> bytes:
     """A bit for each hash value's parity: the Hamming distance of two sketches is at most the symmetric difference."""
-    return np.packbits((np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).tobytes()
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def folded(raw: bytes, size: int) -> bytes:
+    """The sketch with `size` bytes: its halves are laid over each other, which keeps the parities."""
+    x = np.frombuffer(raw, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
 
 
 def near_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -135,103 +150,142 @@ def near_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     A set holds the distinct k-word shingles of the lower-cased (A-Z) text; with fewer words, the whole
     sequence as one; null, empty and blank texts have none and link with nothing. Sets link when
     den * intersection >= num * union. component_id is the smallest doc_id that links reach. Rows that
-    repeat a doc_id count as one document; a null doc_id has n_shingles and links with nothing.
-    Shingles are compared by 64-bit hashes.
+    repeat a doc_id count as one document, which links where any of its texts does; a null doc_id has n_shingles and
+    links with nothing. Very long texts are read whole. An empty table gives no rows; other columns are not read.
+    Shingles and word sequences are compared by 64-bit hashes.
     """
-    docs, bands = small_batches(docs.select("doc_id", "text")), Bands(num, den)
-    made = cut(docs.mapInArrow(_parts(k, bands), "doc_id long, n long, ident binary, first int, filled array<int>, band int, key long"), "parts")
-    heads = made.where("key is null")
-    copies = heads.where("n > 0 and doc_id is not null").groupBy("ident").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = heads.join(copies, "ident").where("doc_id <> rep").select("doc_id").distinct()
-
-    def shared(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
-
-    rows = shared(made.where("key is not null").select("key", "doc_id", "band")).drop("c").join(later, "doc_id", "left_anti")
-    rows = cut(shared(rows), "shared")
-    size = heads.where("n > 0 and doc_id is not null").select("doc_id", "n", "first", "filled", F.expr(bands.differ_sql("n")).alias("d"))
-    rows = rows.join(size, "doc_id").withColumn("full", F.expr("filled[band - first]"))
-    own = Window.partitionBy("doc_id", "band")
+    docs, bands = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), Bands(num, den)
+    made = cut(docs.mapInArrow(_parts(k, bands), "doc_id long, n long, sid long, first int, filled array<int>, band int, key long"), "parts")
+    heads = cut(made.where("key is null").select("doc_id", "n", "sid", "first", "filled"), "heads")
+    given = heads.where("n > 0 and doc_id is not null")
+    sizes = cut(given.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), *(F.first(x).alias(x) for x in ("n", "first", "filled"))), "sizes")
+
+    keys = made.where("key is not null").select("key", "sid", "band")
+    rows = cut(_held_by_two(keys), "shared")
+    release(made)
+    size = sizes.select("sid", "n", "first", "filled", F.expr(bands.differ_sql("n")).alias("d"))
+    rows = rows.join(size, "sid").withColumn("full", F.expr("filled[band - first]"))
+    own = Window.partitionBy("sid", "band")
     rows = rows.withColumn("keep", F.expr("d + 1 - full") + F.count("*").over(own)).where("keep > 0")
-    rows = rows.withColumn("nth", F.row_number().over(own.orderBy("c", "key"))).where("nth <= keep").select("key", "doc_id")
-    poor = size.join(later, "doc_id", "left_anti").select("doc_id", "d", F.posexplode("filled").alias("i", "full"), "first").where("full <= d")
-    rows = cut(shared(rows.union(poor.select(F.expr("cast(-1 - first - i as long)").alias("key"), "doc_id"))).select("key", "doc_id"), "buckets")
-
-    near = docs.join(rows.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = cut(near.mapInArrow(_sets(k), "doc_id long, n long, sketch binary, shingles array<long>").dropDuplicates(["doc_id", "sketch", "n"]), "sets")
+    rows = rows.withColumn("nth", F.row_number().over(own.orderBy("c", "key"))).where("nth <= keep").select("key", "sid")
+    poor = size.select("sid", "d", F.posexplode("filled").alias("i", "full"), "first").where("full <= d")
+    rows = cut(_held_by_two(rows.union(poor.select(F.expr("cast(-1 - first - i as long)").alias("key"), "sid"))).select("key", "sid"), "buckets")
+
+    want = rows.select("sid").distinct().join(sizes.select("sid", "rep"), "sid").select(F.col("rep").alias("id")).distinct()
+    near = docs.join(want.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi")
+    sets = near.mapInArrow(_sets(k, bands), "sid long, n long, sketch binary, shingles array<long>")
+    sets = cut(sets.groupBy("sid").agg(*(F.first(x).alias(x) for x in ("n", "sketch", "shingles"))), "sets")
     tried = cut(_compare(rows, sets, bands, None).distinct(), "tried")
     first = cut(_verify(tried, sets, bands), "links")
-    known = components(first, "a", "b")
+    known = cut(components(first, "a", "b"), "known")
     more = _compare(rows, sets, bands, known).distinct().join(tried, ["a", "b"], "left_anti")
-    links = first.union(_verify(more, sets, bands))
-    joined = components(links, "a", "b")
+    links = cut(first.union(_verify(more, sets, bands)), "links")
+    release(rows, sets, tried, first, known)
+    # The texts of one doc_id belong together.
+    least = given.groupBy("doc_id").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high")
+    several = given.join(least, "doc_id").select(F.col("sid").alias("a"), F.col("low").alias("b")).where("a <> b")
+    joined = cut(components(links.union(several), "a", "b"), "joined")
+
+    named = sizes.select("sid", "rep", "rows").join(joined, F.col("sid") == F.col("node"), "left").withColumn("part", F.coalesce("component", "sid"))
+    low = named.groupBy("part").agg(F.min("rep").alias("component_id"))
+    named = cut(named.join(low, "part").select("sid", "rows", "component_id"), "named")
+    out = spread_join(given.select("doc_id", "n", "sid"), named, "sid", "rows").select("doc_id", "n", "component_id")
+    rest = heads.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return out.union(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
 
-    out = heads.select("doc_id", "n", "ident").join(copies, "ident", "left")
-    out = out.withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    out = out.join(joined, out.rep == joined.node, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+def _held_by_two(rows: DataFrame) -> DataFrame:
+    """The distinct rows whose key two sets or more hold, with their number c. Rows that tasks sent twice meet in the key's partition."""
+    each = rows.repartition("key").distinct()  # grouped by what includes the key: no second shuffle
+    return each.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
 
 
 def _parts(k: int, bands: Bands):
-    names = ["doc_id", "n", "ident", "first", "filled", "band", "key"]
+    names = ["doc_id", "n", "sid", "first", "filled", "band", "key"]
+    most = 200_000  # sets that a task remembers; what it forgets it may send again
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             for rows, data, offsets in pieces(batch, "text"):
                 h, at, order = shingle_sets(data, offsets, k)
                 n, ids = np.diff(at), rows.column(0)
+                sid = np.array([int.from_bytes(x[:8], "little", signed=True) for x in order], np.int64)
                 filled = [{} for _ in range(len(n))]
-                valid = np.asarray(ids.is_valid())
+                new = np.asarray(ids.is_valid()).copy()
+                for i in np.flatnonzero(new).tolist():
+                    if sid[i] in sent:
+                        new[i] = False
+                    else:
+                        sent.add(int(sid[i]))
+                if len(sent) > most:
+                    sent.clear()
                 for g, own, full, key in part_keys(h, at, bands):
                     for i, f in zip(own.tolist(), full.tolist(), strict=True):
                         filled[i][g] = f
                     doc = np.repeat(own, full)
-                    keep = valid[doc]
+                    keep = new[doc]
                     doc, key = doc[keep], key[keep]
-                    nothing = [pa.nulls(len(doc), t) for t in (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()))]
-                    yield pa.record_batch([ids.take(pa.array(doc)), *nothing, pa.array(np.full(len(doc), g, np.int32)), pa.array(key.view(np.int64))], names)
+                    nothing = [pa.nulls(len(doc), t) for t in (pa.int32(), pa.list_(pa.int32()))]
+                    yield pa.record_batch([pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64()), pa.array(sid[doc]), *nothing, pa.array(np.full(len(doc), g, np.int32)), pa.array(key.view(np.int64))], names)
                 first = pa.array([min(x, default=0) for x in filled], pa.int32())
                 lists = pa.array([[x[g] for g in sorted(x)] for x in filled], pa.list_(pa.int32()))
-                yield pa.record_batch([ids, pa.array(n), pa.array(order, pa.binary()), first, lists, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], names)
+                yield pa.record_batch([ids, pa.array(n), pa.array(sid), first, lists, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], names)
 
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in pieces(batch, "text"):
-                h, at, _ = shingle_sets(data, offsets, k)
-                marks = [sketch(h[a:b]) for a, b in zip(at[:-1], at[1:])]
+            for _, data, offsets in pieces(batch, "text"):
+                h, at, order = shingle_sets(data, offsets, k)
+                n = np.diff(at)
+                bits = np.clip(SHARP * bands.differ(n), SKETCH, WIDEST)
+                marks = [sketch(h[a:b], 1 << int(x - 1).bit_length()) for a, b, x in zip(at[:-1], at[1:], bits.tolist())]
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.record_batch([rows.column(0), pa.array(np.diff(at)), pa.array(marks, pa.binary()), lists], ["doc_id", "n", "sketch", "shingles"])
+                sid = pa.array([int.from_bytes(x[:8], "little", signed=True) for x in order], pa.int64())
+                yield pa.record_batch([sid, pa.array(n), pa.array(marks, pa.binary()), lists], ["sid", "n", "sketch", "shingles"])
 
     return run
 
 
 def _compare(rows: DataFrame, sets: DataFrame, bands: Bands, known: DataFrame | None) -> DataFrame:
-    """Pairs a < b whose sketches are near enough: a forest of each block, or, given components, all between two of these."""
-    marks = rows.join(sets.select("doc_id", "n", "sketch"), "doc_id")
+    """Pairs a < b whose sketches are near enough: a forest of each block, or, given components, all between two of these.
+
+    The first time, sets meet the first block of their bucket only. The second time, those outside the bucket's
+    largest component come in the first blocks and meet all; those inside meet these.
+    """
+    marks = rows.join(sets.select("sid", "n", "sketch"), "sid")
     if known is None:
-        marks = marks.withColumn("comp", F.col("doc_id"))
+        marks = marks.withColumn("comp", F.col("sid"))
+        per = marks.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+        marks = marks.join(per, "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+        marks = marks.withColumn("other", F.explode(F.expr("if(block = 0, sequence(0, blocks - 1), array(0))")))
     else:
-        marks = marks.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    per = marks.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    marks = marks.join(per.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
-    marks = marks.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    marks = marks.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    marks = marks.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id", "n", "comp", "sketch")
+        marks = marks.join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+        counts = marks.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        top = F.max(F.struct("c", F.col("comp").alias("main")))
+        per = counts.groupBy("key").agg(F.sum("c").alias("sets"), top.alias("top")).where("sets > top.c")
+        blocks = {"cores": F.expr("cast(ceil((sets - top.c) / double(%d)) as int)" % BLOCK), "guests": F.expr("cast(ceil(top.c / double(%d)) as int)" % BLOCK)}
+        marks = marks.join(per.withColumns(blocks).select("key", "top.main", "cores", "guests"), "key")
+        marks = marks.withColumn("block", F.expr("cast(if(comp = main, cores + pmod(xxhash64(sid), guests), pmod(xxhash64(sid), cores)) as int)"))
+        marks = marks.withColumn("other", F.explode(F.expr("sequence(0, if(comp = main, cores, cores + guests) - 1)")))
+    marks = marks.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "sid", "n", "comp", "sketch")
     by = ["key", "left", "right"]
-    return marks.repartition(*by).sortWithinPartitions(*by, "doc_id").mapInArrow(_near(bands, known is None), "a long, b long")
+    return marks.repartition(*by).sortWithinPartitions(*by, "sid").mapInArrow(_near(bands, known is None), "a long, b long")
 
 
 def _near(bands: Bands, forest: bool):
     num, den = bands.num, bands.den
 
-    def group(block: np.ndarray, across: bool, ids: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> tuple[list, list]:
+    def group(block: np.ndarray, across: bool, ids: np.ndarray, n: np.ndarray, comp: np.ndarray, marks: list[bytes]) -> tuple[list, list]:
+        size = min(map(len, marks))
+        bits = np.frombuffer(b"".join(folded(x, size) for x in marks), np.uint64).reshape(len(marks), -1)
         q, near = len(ids), []
-        for s in range(0, q, 128):
-            e = min(q, s + 128)
+        step = max(1, (1 << 21) // (q * bits.shape[1]))  # the words of a step take 16 MB
+        for s in range(0, q, step):
+            e = min(q, s + step)
             apart = np.bitwise_count(bits[s:e, None, :] ^ bits[None, :, :]).sum(2, dtype=np.int32)
             a, b = n[s:e, None], n[None, :]
             ok = (apart * (den + num) <= (a + b) * (den - num)) & (np.minimum(a, b) * den >= num * np.maximum(a, b)) & (comp[s:e, None] != comp[None, :])
@@ -260,14 +314,14 @@ def _near(bands: Bands, forest: bool):
         held: list[pa.RecordBatch] = []
 
         def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            cols = [table.column(x).to_numpy() for x in ("key", "left", "right", "block", "doc_id", "n", "comp")]
-            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(table), -1)
+            cols = [table.column(x).to_numpy() for x in ("key", "left", "right", "block", "sid", "n", "comp")]
+            marks = table.column("sketch").to_pylist()
             key, lo, hi, block, ids, n, comp = cols
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
             out_a, out_b = [], []
             for s, e in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
                 if e - s > 1:
-                    a, b = group(block[s:e], lo[s] != hi[s], ids[s:e], n[s:e], comp[s:e], bits[s:e])
+                    a, b = group(block[s:e], lo[s] != hi[s], ids[s:e], n[s:e], comp[s:e], marks[s:e])
                     out_a += a
                     out_b += b
             a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
@@ -291,7 +345,7 @@ def _near(bands: Bands, forest: bool):
 
 def _verify(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """The pairs whose sets link."""
-    own = sets.select("doc_id", "shingles")
+    own = sets.select("sid", "shingles")
     both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
     same = F.size(F.array_intersect("sa", "sb"))
     return both.where(same * (bands.den + bands.num) >= (F.size("sa") + F.size("sb")) * bands.num).select("a", "b").distinct()
