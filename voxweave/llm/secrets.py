@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
 Texts are scanned as UTF-8 bytes (all patterns are ASCII) and offsets are given in code points. A
-candidate is a run of key characters with letters and digits; a window slides over it, and its entropy
+candidate is a run of key characters with letters and digits or with letters of both cases; a window slides over it, and its entropy
 is kept by incremental counts against the threshold of the run's character class.
 """
 
@@ -22,14 +22,17 @@ ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+#: A run has characters of two of these.
+KINDS_OF_CHARACTER = tuple(map(re.compile, (rb"[0-9]", rb"[a-z]", rb"[A-Z]")))
 #: Window, and the least entropy in bits of a window for each class of characters that a run is made of.
 WINDOW = 20
 CLASSES = ((re.compile(rb"[0-9a-f]+|[0-9A-F]+"), 3.0), (re.compile(rb"[A-Z0-9]+|[a-z0-9]+"), 3.5), (re.compile(rb"[A-Za-z0-9+/_=-]+"), 3.8))
-#: Runs that look random and are no secrets: UUIDs, dates, paths and slugs of words, placeholders.
+#: Runs that look random and are no secrets: UUIDs, dates, paths and slugs of words, words put together, placeholders.
 ALLOWED = (
     re.compile(rb"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"),
     re.compile(rb"\d{4}-\d\d-\d\d\S*"),
     re.compile(rb"/?([a-z]+|[A-Z]+|[A-Z][a-z]+|\d{1,4})([-_/=+]+([a-z]+|[A-Z]+|[A-Z][a-z]+|\d{1,4}))*[-_/=+]*"),
+    re.compile(rb"(?:[A-Z]?[a-z]{3,}+|[A-Z]{2,4}(?![a-z]))++"),
     re.compile(rb"(?i).*(example|placeholder|changeme|your[-_]?key|x{6}).*"),
 )
 TERM = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
@@ -39,19 +42,19 @@ def entropy_peak(run: bytes, window: int = WINDOW) -> float:
     """The highest entropy, in bits a character, of the windows of run; counts change by one character a step."""
     count, total, low = [0] * 256, 0.0, math.inf
     for i, c in enumerate(run):
-        total += TERM[count[c] + 1] - TERM[count[c]]
-        count[c] += 1
         if i >= window:
             out = run[i - window]
             total += TERM[count[out] - 1] - TERM[count[out]]
             count[out] -= 1
+        total += TERM[count[c] + 1] - TERM[count[c]]
+        count[c] += 1
         if i >= window - 1:
             low = min(low, total)
     return math.log2(window) - low / window if low < math.inf else 0.0
 
 
 def is_random(run: bytes) -> bool:
-    if not (any(48 <= c < 58 for c in run) and any(c >= 65 for c in run)) or any(p.fullmatch(run) for p in ALLOWED):
+    if sum(p.search(run) is not None for p in KINDS_OF_CHARACTER) < 2 or any(p.fullmatch(run) for p in ALLOWED):
         return False
     return entropy_peak(run) >= next(least for kind, least in CLASSES if kind.fullmatch(run))
 
@@ -64,11 +67,27 @@ def find(text: bytes) -> list[tuple[int, int, int]]:
     if b"AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    for m in RUN.finditer(text):
+    found.sort()
+    more, at, upto = [], 0, 0
+    for m in RUN.finditer(text):  # in order, so one pass over the spans found is enough
         s, e = m.span()
-        if all(b <= s or a >= e for a, _, b in found) and is_random(m[0]):
-            found.append((s, 3, e))
-    return sorted(found)
+        while at < len(found) and found[at][0] < e:
+            upto = max(upto, found[at][2])
+            at += 1
+        if upto <= s and is_random(m[0]):
+            more.append((s, 3, e))
+    return sorted(found + more)
+
+
+def in_points(text: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans in bytes as spans in code points; the text is counted once."""
+    if text.isascii():
+        return found
+    points, last, n = {}, 0, 0
+    for at in sorted({x for s, _, e in found for x in (s, e)}):
+        n += len(text[last:at].decode())
+        points[at], last = n, at
+    return [(points[s], k, points[e]) for s, k, e in found]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -76,7 +95,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     spans is `kind:start:end` (code points, end exclusive) by start and then kind, comma-joined; base_sha256
     is of the same without the entropy spans. Null text is empty; a text without spans has the hash of "".
-    Repeated rows give repeated results.
+    Repeated rows give repeated results. Very long texts are read whole, in time that grows with their length. An
+    empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +107,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     text = whole[a:b]
                     if found := find(text):
-                        own = found if text.isascii() else [(len(text[:s].decode()), k, len(text[:e].decode())) for s, k, e in found]
-                        said = [(k, f"{KINDS[k]}:{s}:{e}") for s, k, e in own]
+                        said = [(k, f"{KINDS[k]}:{s}:{e}") for s, k, e in in_points(text, found)]
                     else:
                         said = []
                     for k, c in enumerate(counts):
