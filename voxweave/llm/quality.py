@@ -7,6 +7,7 @@ most `rows` labelled texts (a bound that does not grow with the corpus) and scor
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -14,11 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from voxweave.llm.arrow import pieces, small_batches, sums
 
 FEATURES = ("length", "word_length", "upper", "digit", "symbol", "bar", "bang", "blank", "line", "distinct_words", "top_word", "wide", "stops", "commas", "distinct_lines", "long_words")
 FULL, COARSE = 32, 8
+#: The columns that score() adds.
+OUT = {"held_out": StructField("held_out", BooleanType()), "score": StructField("score", DoubleType()), "predicted": StructField("predicted", IntegerType())}
 
 
 def _mask(chars: bytes) -> np.ndarray:
@@ -173,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Gam | None:
                 x = features(data, offsets)
                 yield pa.record_batch([part.column(0), part.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    got = texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x array<double>").toPandas()
+    made = texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x array<double>")
+    got = made.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("x").alias("x")).toPandas()  # a row a doc_id: at most `rows`
     if not len(got):
         return None
     x = np.array(got.x.tolist())
@@ -182,26 +187,39 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Gam | None:
     return fit(x[order], y[order])
 
 
+def _scores(model: Gam | None, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for part, data, offsets in pieces(batch, "text"):
+        yield part, model.score(features(data, offsets)) if model else np.ones(part.num_rows)
+
+
 def score(docs: DataFrame, labels: DataFrame, keep: float = 0.7, rows: int = 20_000) -> DataFrame:
-    """docs with held_out, score and predicted, for every row.
+    """docs with held_out, score and predicted, for every row; columns of docs with these names give way to them.
 
-    predicted is 1 where score >= keep. Null text counts as empty. Without labelled rows to learn from,
-    every score is 1. Only texts are inputs of a score. A null doc_id is not held out.
+    predicted is 1 where score >= keep. Null text counts as empty; very long texts are read whole. Without labelled
+    rows to learn from, every score is 1. Only texts are inputs of a score. A null doc_id is not held out. Repeated rows
+    have equal scores, and a label counts once. An empty table gives no rows.
     """
     model = train(small_batches(docs), labels, rows)
+    at = [i for i, c in enumerate(docs.columns) if c not in OUT]
+    key = docs.columns.index("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, s in _scores(model, batch):
+                held = [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in part.column(key).to_pylist()]
+                cols = [part.column(i) for i in at]
+                yield pa.record_batch([*cols, pa.array(held, pa.bool_()), pa.array(s), pa.array((s >= keep).astype(np.int32))], [*(part.schema.names[i] for i in at), *OUT])
+
+    return docs.mapInArrow(run, StructType([*(docs.schema.fields[i] for i in at), *OUT.values()]))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, keep: float = 0.7, rows: int = 20_000) -> DataFrame:
+    """The rows of docs that score() predicts 1 for, with just their own columns."""
+    model = train(small_batches(docs), labels, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in pieces(batch, "_text"):
-                s = model.score(features(data, offsets)) if model else np.ones(part.num_rows)
-                at = part.schema.get_field_index("_text")
-                cols = [c for i, c in enumerate(part.columns) if i != at]
-                yield pa.record_batch([*cols, pa.array(s)], [*(n for n in part.schema.names if n != "_text"), "_score"])
-
-    names = docs.columns
-    given = docs.select("*", F.col("text").alias("_text"), F.coalesce(_remainder("doc_id") == 2, F.lit(False)).alias("_held"))
-    schema = [f for f in given.schema.fields if f.name != "_text"]
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    made = given.mapInArrow(run, StructType([*schema, StructField("_score", DoubleType())]))
-    return made.select(*names, F.col("_held").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= keep).cast("int").alias("predicted"))
+            for part, s in _scores(model, batch):
+                yield part.filter(pa.array(s >= keep))
+
+    return docs.mapInArrow(run, docs.schema)
