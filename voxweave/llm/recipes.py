@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxweave.llm.arrow import pieces, small_batches, sums
-from voxweave.llm.common import cut
+from voxweave.llm.common import cut, release, spread_join
 
 WHITE = np.ones(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = False
@@ -84,7 +84,8 @@ def exact_dedup(docs: DataFrame, mark: Callable[[memoryview], bytes] = fingerpri
 
     Texts are equal when identical without [\\x20\\x09-\\x0D]; null counts as empty, and empty texts are
     equal to each other. The longest original (code points) stays, then the smallest doc_id. Rows that
-    repeat a doc_id and its text all count, and are kept or dropped together. A null doc_id sorts last.
+    repeat a doc_id and its text all count, and are kept or dropped together. A null doc_id sorts last. Very long
+    texts are read whole. An empty table gives no rows; other columns are not read.
     mark: the chunk fingerprint, of 16 bytes at most; results do not depend on it.
     """
     docs = small_batches(docs.select("doc_id", "text"))
@@ -98,8 +99,8 @@ def exact_dedup(docs: DataFrame, mark: Callable[[memoryview], bytes] = fingerpri
                 yield pa.record_batch([rows.column(0), pa.array(points), pa.array(sha), pa.array(made, pa.binary())], ["doc_id", "points", "text_sha256", "recipe"])
 
     made = cut(docs.mapInArrow(recipes, "doc_id long, points long, text_sha256 string, recipe binary"), "recipes")
-    alike = made.groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1")
-    again = cut(made.join(alike, "recipe").select("doc_id").distinct(), "alike")
+    alike = cut(made.groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    again = cut(spread_join(made.select("recipe", "doc_id"), alike, "recipe", "n").select("doc_id").distinct(), "alike")
 
     def distinct_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -119,15 +120,14 @@ def exact_dedup(docs: DataFrame, mark: Callable[[memoryview], bytes] = fingerpri
     texts = docs.join(again.withColumnRenamed("doc_id", "id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     kinds = texts.mapInArrow(distinct_chunks, "mark binary, chunk binary").groupBy("mark").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     bad = cut(kinds.where("low <> high").select("mark"), "unverified")
+    release(alike, again)
     own = made.withColumn("ident", F.concat(F.lit(b"\x00"), "recipe"))
     if not bad.isEmpty():
         own = _with_whole_texts(docs, made, bad)
     best = F.max(F.struct("points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("low"), "doc_id"))
-    groups = own.groupBy("ident").agg(F.count("*").alias("group_size"), best["doc_id"].alias("keep_id")).where("group_size > 1")
-    out = own.join(groups, "ident", "left")
-    alone = F.col("group_size").isNull()
-    out = out.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")))
-    return out.select("doc_id", "keep_id", F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = cut(own.groupBy("ident").agg(F.count("*").alias("group_size"), best["doc_id"].alias("keep_id")), "groups")
+    out = spread_join(own.select("doc_id", "text_sha256", "ident"), groups, "ident", "group_size")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def _with_whole_texts(docs: DataFrame, made: DataFrame, bad: DataFrame) -> DataFrame:
