@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import textwrap
 import zlib
 
@@ -161,6 +162,43 @@ def test_secrets(docs):
     assert by_id(secrets.redact(docs))[n - 3].text == "key <secret> ok" and by_id(secrets.redact(docs))[0].text is None
 
 
+KEYS = {"lower hex of 20": "9f86d081884c7d659a2f", "one case and digits": "q8zr2lmx0vt7bn4kp1sd9we6", "base64": "Zm9vYmFyL2JheitxdXgxMjM0NTY3", "letters alone": "qZrLmXvTbNkPsDwEyUjHgFcA"}
+CLEAN = ["123e4567-e89b-12d3-a456-426614174000", "2024-01-02T03:04:05-0600abc123", "some_long_name-with/parts_1234", "getHttpServletRequestFactoryBean", "XMLHttpRequestEventTargetList", "example-q8zr2lmx0vt7bn4kp1sd9", "a" * 30 + "1", "0" * 40, "A" * 30]
+
+
+def test_planted_keys_and_allowed_runs():
+    for run in KEYS.values():
+        assert secrets.find(f"see {run} here".encode()) == [(4, 3, 4 + len(run))], run
+    for run in CLEAN:
+        assert not [x for x in secrets.find(f"see {run} here".encode()) if x[1] == 3], run
+
+
+def test_all_spans_against_brute_force():
+    r = random.Random(6)
+    parts = [*KEYS.values(), *CLEAN, "token: abcdef12", "AKIA" + "Q1" * 10, "0a" * 15, "é", "api_key=Zm9vYmFyL2JheitxdXgxMjM0NTY3", "word", "secret:ab"]
+    for _ in range(150):
+        text = "".join(r.choice(parts) + r.choice([" ", "", "; ", "\n"]) for _ in range(r.randint(0, 12)))
+        base = []
+        for kind, pattern, least, group in (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2), ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0)):
+            base += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+            if all(e <= m.start() or s >= m.end() for s, k, e in base if k != "entropy"):
+                w = [m[0][i : i + 20] for i in range(len(m[0]) - 19)]
+                peak = max(-sum(x.count(c) / 20 * np.log2(x.count(c) / 20) for c in set(x)) for x in w)
+                least = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", m[0]) else 3.5 if re.fullmatch("[A-Z0-9]+|[a-z0-9]+", m[0]) else 3.8
+                kinds = sum(bool(re.search(c, m[0])) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+                if kinds > 1 and peak >= least - 1e-9 and not any(p.fullmatch(m[0].encode()) for p in secrets.ALLOWED):
+                    base.append((m.start(), "entropy", m.end()))
+        raw = text.encode()
+        assert [(s, secrets.KINDS[k], e) for s, k, e in secrets.in_points(raw, secrets.find(raw))] == sorted(base, key=lambda x: (x[0], secrets.KINDS.index(x[1])))
+
+
+def test_a_text_with_many_spans_is_scanned_in_one_pass():
+    text = ("é token=abcdef0123 q8zr2lmx0vt7bn4kp1sd9we6 " * 50_000).encode()
+    spans = secrets.in_points(text, secrets.find(text))
+    assert len(spans) == 100_000 and spans[-1] == (44 * 49_999 + 19, 3, 44 * 49_999 + 43)
+
+
 def test_entropy_is_of_the_best_window():
     run = b"aaaaaaaaaaaaaaaaaaaab1c2d3e4f5g6h7i8j9k0"
     best = max(-sum(p * np.log2(p) for p in np.unique(list(run[i : i + 20]), return_counts=True)[1] / 20) for i in range(len(run) - 19))
