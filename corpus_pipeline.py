@@ -10,19 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxweave.llm import jaccard, packing, quality, recipes, secrets
-from voxweave.llm.common import cut
+from voxweave.llm.common import cut, release
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in ids (one column, doc_id); a null matches a null."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash")
-    return docs.join(ids, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    name = next(n for n in ("_id" + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    ids = ids.select(F.col("doc_id").alias(name)).distinct().hint("shuffle_hash")
+    return docs.join(ids, docs.doc_id.eqNullSafe(F.col(name)), "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score(docs, labels).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, labels)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            release(before)
     return docs
