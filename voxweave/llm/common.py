@@ -53,11 +53,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes tables that cut() wrote, once their last reader has written its own result."""
+    """Deletes tables that cut() wrote, once their last reader has written its own result, and lets Spark drop the shuffles behind them."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()  # shuffle files go when the driver no longer holds their plans; else that takes half an hour
 
 
 def _before(df: DataFrame, group: list[str], order: str | list[str], value: str) -> Column:

@@ -15,8 +15,9 @@ Copies. A set is named by 64 bits of its text's words, so equal texts and repeat
 from the start: a task sends a set once, and what several tasks send is made one before anything is joined.
 
 Verification. Buckets are compared in blocks of bounded size by the Hamming distance of parity sketches,
-which bounds the symmetric difference from below; a sketch has 16 bits and more for each shingle that may differ
-in its size band, so it stays sharp for long texts. First all sets of a bucket meet one of its blocks, and a
+which bounds the symmetric difference from below; a sketch has three bits and more for each shingle that may differ
+in its size band, up to 4096, so it stays sharp for texts of some 10,000 words (of longer ones it lets more pairs
+through to be verified, and loses none). First all sets of a bucket meet one of its blocks, and a
 spanning forest of what passes is verified on the sets themselves. Then sets outside their bucket's
 largest component meet all others of the bucket, so no link between components is lost, while a
 group of near copies costs in proportion to its size and is not expanded into all pairs.
@@ -42,7 +43,7 @@ WORD[[0x20, *range(0x09, 0x0E)]] = False
 ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 BLOCK, RATIO = 1024, 1.5
 #: Bits of a sketch: the least, the most, and for each shingle that may differ.
-SKETCH, WIDEST, SHARP = 1024, 1 << 16, 16
+SKETCH, WIDEST, SHARP = 1024, 4096, 3
 
 
 def mix(h: np.ndarray) -> np.ndarray:
