@@ -6,7 +6,9 @@ import re
 import textwrap
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -326,6 +328,12 @@ NOTICES = [
     ("GPL-3.0", ["This work is licensed under the GNU General Public License, version 3."]), ("GPL-3.0-or-later", GPL), ("GPL-2.0-or-later", [GPL[0].replace("software: you", "software; you").replace("version 3", "version 2"), GPL[1]]),
     ("BSD-2-Clause", BSD), ("BSD-3-Clause", [*BSD, "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]),
     ("CC-BY-NC-4.0", ["Licensed under CC BY-NC 4.0."]), ("CC-BY-4.0", ["Licensed under CC BY 4.0."]), ("CC-BY-SA-4.0", ["Licensed under CC BY-SA 4.0."]),
+    ("GPL-2.0-only", ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."]),
+    ("LGPL-2.1-or-later", [p.replace("This program", "This library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1") for p in GPL]), ("LGPL-3.0-or-later", [GPL[0].replace("GNU General", "GNU Lesser General"), GPL[1]]),
+    ("AGPL-3.0-or-later", [GPL[0].replace("GNU General", "GNU Affero General"), "Licensed under the MIT license, parts are not.", GPL[1]]), ("Unlicense", ["This is free and unencumbered software released into the public domain."]),
+    ("ISC", ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."]),
+    ("ISC", ["Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."]),
+    *((n, [f"SPDX-License-Identifier: {n}"]) for n in sorted({n for n, _ in licenses.RULES})),
     ("MPL-2.0", ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."]),
 ]
 
@@ -336,8 +344,12 @@ def test_every_license_rule_with_its_wrapped_notice(spark):
         for comment, between in (("", "\n\n"), (" * ", "\n *\n"), ("# ", "\r\n"), ("// ", "\n")):
             forms += [(name, "int x;\n" + between.join("\n".join(comment + line for line in textwrap.wrap(p, width)) for p in parts) + "\n\nint y;") for name, parts in NOTICES]
     assert {name for name, _ in NOTICES} == {name for name, _ in licenses.RULES}
-    got = by_id(licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id long, text string")))
+    rows = [(i, t) for i, (_, t) in enumerate(forms)] + [(10**6 + i, t) for i, t in enumerate(TEXTS)]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
     assert [got[i].licenses for i in range(len(forms))] == [name for name, _ in forms]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}))
+    assert sorted(con.sql(licenses.oracle()).fetchall()) == sorted(tuple(got[i]) for i, _ in rows)
     # A sentence on a line of its own, without a full stop, and one inside a longer sentence.
     lines = spark.createDataFrame([(0, "a\nLicensed under CC BY 4.0\nb"), (1, "It is not licensed under CC BY 4.0 yet.")], "doc_id long, text string")
     assert [r.licenses for r in licenses.scan(lines).orderBy("doc_id").collect()] == ["CC-BY-4.0", ""]
