@@ -130,7 +130,8 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Whole texts are encoded and decoded again; null counts as empty, which has no ids and the hash of "".
-    The text <|endoftext|> becomes its special id. Repeated rows give repeated results.
+    The text <|endoftext|> becomes its special id. Repeated rows give repeated results. An empty table gives no rows;
+    other columns are not read.
     """
     path = path or vocabulary()
 

@@ -29,7 +29,8 @@ def pack(docs: DataFrame, most: int = 2048, end_id: int = 1, path: str | None =
 
     A document is the ids of its whole text and end_id, so null and empty texts have one piece of one id.
     sequence_id counts from 0 without gaps, longest sequences first; offset is 0. Repeated rows are packed
-    each. The order of pieces of equal length is by hash, and of equal rows arbitrary.
+    each. The order of pieces of equal length is by hash, and of equal rows arbitrary. Very long texts are encoded whole.
+    An empty table gives no rows; other columns are not read.
     """
     path = path or vocabulary()
 

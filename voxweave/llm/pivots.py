@@ -75,7 +75,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest: int = 10, sha
     Vectors of one label (not null) and dimension link when their cosine is `least` or more. Null and zero
     vectors and those with null or non-finite components link with nothing. n_links counts the other rows
     linked directly, repeated rows and equal vectors included; component_id is the smallest vec_id that
-    links reach; kept: vec_id = component_id. A null vec_id counts as a link but names no component.
+    links reach; kept: vec_id = component_id. A null vec_id counts as a link but names no component. An empty table
+    gives no rows; other columns are not read.
     """
     reach = np.cos(np.arccos(CORE) + np.arccos(least)) - 1e-9  # what links with a core is not farther from its pivot
     given = vectors.select("vec_id", "label", "embedding")

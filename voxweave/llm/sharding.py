@@ -32,14 +32,14 @@ def _propose(state: DataFrame, shards: int, free: list[int]) -> DataFrame:
     return moves.where((F.col("to") != F.col("label")) & ((F.col("near") > F.col("n")) | ((F.col("near") == F.col("n")) & (F.col("to") < F.col("label")))))
 
 
-def propagate(state: DataFrame, shards: int, most: int, rounds: int = 6) -> DataFrame:
+def propagate(state: DataFrame, shards: int, most: int, rounds: int = 6, spread: int = 997) -> DataFrame:
     """state: KEY, label, n. Moves rows towards their neighbours; no shard gets over `most` documents by moves."""
     for _ in range(rounds):
         load = _loads(state, shards)
         free = [max(0, most - x) for x in load]
         if not any(free):
             break
-        moves = cut(_propose(state, shards, free).withColumn("bucket", F.pmod("h", F.lit(997)).cast("int")), "moves")
+        moves = cut(_propose(state, shards, free).withColumn("bucket", F.pmod("h", F.lit(spread)).cast("int")), "moves")
         if moves.isEmpty():
             break
         moves = prefix_sum(moves, ["to"], "bucket", [*KEY, "label"], "n", "before")
@@ -74,7 +74,7 @@ def _spread(groups: list, free: list[int]) -> list[tuple]:
     return out
 
 
-def settle(state: DataFrame, goal: list[int]) -> DataFrame:
+def settle(state: DataFrame, goal: list[int], spread: int = 997) -> DataFrame:
     """state: KEY, label, n. No shard holds more than its goal, and groups that fit are whole.
 
     Groups over a 64th of a shard are few (64 a shard at most) and placed on the driver. Smaller ones stay where they are whole
@@ -84,7 +84,7 @@ def settle(state: DataFrame, goal: list[int]) -> DataFrame:
     spark, shards = state.sparkSession, len(goal)
     limit = max(1, max(goal) // 64)
     groups = state.groupBy(*KEY).agg(F.sum("n").alias("n"), F.min("label").alias("label"), F.max("label").alias("last"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("held"))
-    groups = cut(groups.withColumn("bucket", F.pmod("h", F.lit(997)).cast("int")), "groups")
+    groups = cut(groups.withColumn("bucket", F.pmod("h", F.lit(spread)).cast("int")), "groups")
     given = "h long, text_crc32 long, size long, label int, n long"
 
     def placed(rows: DataFrame, free: list[int]) -> DataFrame:
@@ -116,7 +116,8 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     law is `rows`: the shards' row counts are at most one apart. size: UTF-8 bytes of the text and 1; null
-    text counts as none. Repeated rows count each; an empty table gives no rows. grown_shard is null.
+    text counts as none. Repeated rows count each; an empty table gives no rows. grown_shard is null. Very long texts
+    count with their whole size; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
@@ -125,11 +126,12 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     state0 = base.groupBy(*KEY, F.pmod("mix", F.lit(shards)).cast("int").alias("label")).agg(F.count("*").alias("n"))
     sizes = state0.groupBy(*KEY).agg(F.sum("n").alias("total"))
     state = cut(state0.join(sizes.where("total > 1").drop("total"), KEY), "state")
-    state = propagate(state, shards, -(-total // shards), rounds)
+    spread = max(997, buckets(total))  # of prefix sums over groups; grows with the table
+    state = propagate(state, shards, -(-total // shards), rounds, spread)
 
     # The unlinked documents fill the rest in order.
     goal = [total // shards + (s < total % shards) for s in range(shards)]
-    final = settle(state, goal)
+    final = settle(state, goal, spread)
     load = _loads(final, shards)
     gaps, at = [], 0
     for s in range(shards):
