@@ -5,8 +5,7 @@ import pytest
 
 from voxweave.functions import kana, numerals, phonology, scripts, text
 from voxweave.functions.dialect import SPARK, lit
-from voxweave.plans.catalog import PLANS
-from voxweave.plans.queries import oracle_sql, run
+from voxweave.plans.queries import oracle_sql, queries
 from voxweave.sources.config import compatible, resolve_device, version_number
 
 DATA = "/root/testdata/sf0.001"
@@ -96,12 +95,12 @@ def test_config():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(PLANS))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_same_as_check_engine(spark, name):
     c = duckdb.connect()
     for f in os.listdir(DATA):
         c.sql(f"create view {f[:-8]} as select * from read_parquet('{DATA}/{f}')")
-    got, want = run(name, spark, DATA).toPandas(), c.sql(oracle_sql()[name]).df()
+    got, want = queries()[name](spark, DATA).toPandas(), c.sql(oracle_sql()[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
     rows = lambda t: sorted(repr([None if v is None or v != v else v for v in r]) for r in t[cols].astype(object).values.tolist())

@@ -37,7 +37,7 @@ class Spark:
         return f"ascii({c})"
 
     def chr(self, n: str) -> str:
-        return f"decode(unhex(lpad(hex(cast({n} as bigint)), 8, '0')), 'UTF-32')"
+        return f"decode(unhex(concat('0000FEFF', lpad(hex(cast({n} as bigint)), 8, '0'))), 'UTF-32')"  # the mark of byte order goes first, so U+FEFF itself stays
 
     def map(self, array: str, v: str, e: str) -> str:
         return f"transform({array}, {v} -> {e})"

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from voxweave.functions import kana, numerals, scripts, text
 from voxweave.functions.dialect import SPARK as D
 from voxweave.functions.phonology import phonology
+from voxweave.operators.providers import Provider, annotate
 
 WORDS = "[^ \\t\\n\\r]+"
 PRESETS = ("custom", "ssml", "raw")
 OPTIONS = {"to_ssml": False, "to_ipa": False, "to_json": True, "tn_only": False, "script": "katakana", "preset": "custom"}
-#: Keys of a result that only models fill; they are empty arrays here.
+#: Keys of a result that only models fill; they are empty arrays without a provider.
 UNFILLED = ("annotations", "numbers", "morphemes", "heteronym", "counter")
 
 
@@ -59,11 +60,12 @@ def _marked(heard: str, marks: Mapping[str, str], word: str) -> str:
     return f"array_join(transform({D.find(heard, WORDS)}, (x, i) -> concat({word}, case {case} else '' end)), ' ')"
 
 
-def process(df: DataFrame, column: str, lang: str, options: Mapping | None = None, out: str = "result") -> DataFrame:
+def process(df: DataFrame, column: str, lang: str, options: Mapping | None = None, out: str = "result", provider: Provider | None = None) -> DataFrame:
     """df with `out`: a struct of eight keys, or plain text if to_json is false.
 
     An unsupported language passes the text through: its phonology is null and it has no pauses. Null
-    gives null text; empty text has no pauses. tn_only stops after normalization.
+    gives null text; empty text has no pauses. tn_only stops after normalization. A provider fills the keys
+    that models fill, with spans of the given text; without one they are empty.
     """
     o = merge(OPTIONS, options)
     if o["preset"] not in PRESETS or o["script"] not in ("katakana", "hiragana", "romaji"):
@@ -82,5 +84,9 @@ def process(df: DataFrame, column: str, lang: str, options: Mapping | None = Non
     if not o["to_json"]:
         return made.withColumn(out, F.expr(f"coalesce({heard}, _normal)")).drop("_normal", "_heard", "_tiers")
     spots = f"filter(transform({D.find('_heard', WORDS)}, (x, i) -> named_struct('word_idx', i, 'word', x, 'pause', element_at(_tiers, i + 1))), p -> p.pause <> 'NONE')"
-    empty = ", ".join(f"'{k}', cast(array() as array<string>)" for k in UNFILLED)
-    return made.withColumn(out, F.expr(f"named_struct('normalized_text', _normal, 'phonology', {heard}, 'pauses', coalesce({spots}, array()), {empty})")).drop("_normal", "_heard", "_tiers")
+    if provider:
+        made = annotate(made, column, provider, prefix="_head_")
+        empty = ", ".join(f"'{k}', _head_{k}" for k in UNFILLED)
+    else:
+        empty = ", ".join(f"'{k}', cast(array() as array<string>)" for k in UNFILLED)
+    return made.withColumn(out, F.expr(f"named_struct('normalized_text', _normal, 'phonology', {heard}, 'pauses', coalesce({spots}, array()), {empty})")).drop("_normal", "_heard", "_tiers", *(f"_head_{k}" for k in UNFILLED))

@@ -76,7 +76,9 @@ def hangul_compose(d: Spark) -> str:
 
 @plan
 def utf8_encode(d: Spark) -> str:
-    return f"select id, {d.chr('id * 37 + 161')} c, {d.bytes(d.chr('id * 37 + 161'))} n_bytes from {d.range(1400)} r"
+    """All code points but the surrogates and 0."""
+    n = "case when id < 55295 then id + 1 else id + 2049 end"
+    return f"select id, {d.chr(n)} c, {d.bytes(d.chr(n))} n_bytes from {d.range(1112063)} r"
 
 
 @plan
@@ -126,7 +128,6 @@ def apply_spans(d: Spark) -> str:
 
 over("en_ssml_phoneme", "customer", "c_custkey", ssml=lambda d: f"concat('<phoneme alphabet=\"ipa\" ph=\"rɛd\">', {T.xml('c_name')}, '</phoneme>')")
 over("process_numeric_ko", "orders", "o_orderkey", normalized_text=lambda d: f"concat({N.sino(d, KEY)}, '번')", phonology=lambda d: P.phonology(d, f"concat({N.sino(d, KEY)}, '번')"))
-over("batch_invariance", "orders", "o_orderkey", phonology=lambda d: P.phonology(d, N.sino(d, KEY)))
 over("lang_list_parse", "region", "r_regionkey", langs=lambda d: d.join(d.keep(d.map(d.split(d.at(d.array(["ko, EN", " ja ,xx", "", "KO,ja,en", "zz"]), "r_regionkey + 1"), ","), "x", "lower(trim(x))"), "x", "x in ('ko', 'ja', 'en')"), ","))
 over("char_meta_flags", "documents", "doc_id", flags=lambda d: d.join(d.map(d.chars("text"), "c", f"case when {d.like('c', '[0-9]')} then '1' else '0' end"), ""))
 SAID = "(select o_orderkey, concat({}, case o_orderkey % 5 when 0 then '입니다.' when 1 then '이고' when 2 then '은' when 3 then '에서' else '' end) w from @orders)"
@@ -149,11 +150,8 @@ def en_heteronym_lookup(d: Spark) -> str:
     return f"select w.doc_id, w.i, t.ipa from ({words}) w join {values([('the', 'ðə'), ('that', 'ðæt')], 'word, ipa')} t on w.x = t.word"
 
 
-TIERS = "case when x like '%.' or x like '%!' or x like '%?' then 'P3' when x like '%,' then 'P2' else 'NONE' end"  # no Korean there, so no endings
-
-
 def paused(d: Spark) -> str:
-    return f"(select *, {TIERS} pause from ({d.explode(d.find('text', WORDS), 'doc_id', '@documents')}) q)"
+    return f"(select *, {T.pause(d, 'x')} pause from ({d.explode(d.find('text', WORDS), 'doc_id', '@documents')}) q)"
 
 
 PLANS["pause_rule"] = lambda d: f"select doc_id, pause, count(*) n from {paused(d)} p group by doc_id, pause"
@@ -161,7 +159,7 @@ PLANS["pause_duration_total"] = lambda d: f"select doc_id, cast(sum(case pause {
 
 
 def tagged(d: Spark, tags: dict[str, str], x: str) -> str:
-    case = " ".join(f"when {TIERS.replace('case ', 'case ')} = '{k}' then {lit(v)}" for k, v in tags.items())
+    case = " ".join(f"when {T.pause(d, 'x')} = '{k}' then {lit(v)}" for k, v in tags.items())
     return d.join(d.map(d.find("text", WORDS), "x", f"concat({x}, case {case} else '' end)"), " ")
 
 
@@ -182,14 +180,6 @@ def batch_plain_join(d: Spark) -> str:
     return "select conv_id, string_agg(translate(text, chr(10), ' '), chr(10) order by turn, translate(text, chr(10), ' ')) joined from @conversations group by conv_id"
 
 
-CASES = values([(0, "en", "rɛd", "ɹɛd"), (1, "en", "live", "laɪv"), (2, "ko", "pɛk", ""), (3, "ko", "삼쩌모", ""), (4, "ja", "ɕoːwa", "toːkʲoː")], "k, lang, a, b")
-OUT = "case c.k when 0 then 'aɪ rɛd' when 1 then 'laɪv' when 2 then 'bæk' when 3 then '삼쩌모킬로' else 'toːkʲoː' end"
-HIT = f"((a <> '' and contains({OUT}, a)) or (b <> '' and contains({OUT}, b)))"
-PLANS["bench_cycle"] = lambda d: f"select r.id, c.lang from {d.range(1500)} r join {CASES} c on r.id % 5 = c.k"
-PLANS["bench_match"] = lambda d: f"select r.id, {HIT} ok from {d.range(1500)} r join {CASES} c on r.id % 5 = c.k"
-PLANS["bench_accuracy"] = lambda d: f"select lang, avg(case when {HIT} then 1.0e0 else 0.0e0 end) accuracy, count(*) n from {d.range(1500)} r join {CASES} c on r.id % 5 = c.k group by rollup(lang)"
-
-
 def text_of(name: str, d: Spark, sf_dir: str = "") -> str:
     import re
 

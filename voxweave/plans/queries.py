@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxweave.functions.dialect import CHECK, SPARK
 from voxweave.operators.process import process
+from voxweave.operators.providers import RuleProvider, features
 from voxweave.operators.transliterate import transliterate
 from voxweave.operators.wordpiece import WordPiece, encode, plain_vocabulary
 from voxweave.plans.catalog import PLANS, text_of
@@ -33,13 +34,72 @@ def process_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process(talks.withColumn("hangul", transliterate("text")), "hangul", "ko").select("conv_id", "turn", F.to_json("result").alias("result"))
 
 
+def model_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape of the hidden states of every turn, from the rule-based stand-in of a model."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    made = features(talks, "text", RuleProvider())
+    return made.select("conv_id", "turn", "seq_len", "hidden_dim", F.size("features").alias("n_features"), F.expr("aggregate(word2ph, 0, (a, x) -> a + x)").alias("n_chars"))
+
+
+#: Five published cases (fixed values): language, text, and strings of which the result should hold one.
+CASES = [
+    (0, "en", "I live near a live concert.", ["lyve", "laɪv", "lɪv", "live"]),
+    (1, "en", "Please close the door that is close to me.", ["close", "kloʊz", "kloʊs"]),
+    (2, "ko", "대가 쎈 사나이가 대가를 치렀다.", ["대까", "tɛk͈a"]),
+    (3, "ko", "100달러를 환전하고 3.5km를 걸었습니다.", ["백딸러", "pɛk̚t͈allʌ", "삼쩌모", "samtɕ͈ʌmo"]),
+    (4, "ja", "昭和58年4月15日, 東京ディズニーランドが開業した。", ["ショウワ", "トウキョウ", "ɕoːwa", "toːkʲoː"]),
+]
+#: The cases that the front end meets without a model or a dictionary: the others need a heteronym's label or readings of kanji.
+MET = (0, 1, 3)
+
+
+def _match(spark: SparkSession) -> DataFrame:
+    """(id, lang, ok) of 1500 items, the cases in turn, each put through the front end."""
+    items = spark.range(1500).join(F.broadcast(spark.createDataFrame(CASES, "k int, lang string, text string, any array<string>")), F.expr("id % 5 = k"))
+    made = [process(items.where(F.col("lang") == x), "text", x, provider=RuleProvider()) for x in ("en", "ko", "ja")]
+    said = made[0].unionByName(made[1]).unionByName(made[2]).withColumn("said", F.to_json("result"))
+    return said.select("id", "lang", F.expr("exists(`any`, x -> contains(said, x))").alias("ok"))
+
+
+def bench_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _match(spark).select("id", "ok")
+
+
+def bench_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _match(spark).rollup("lang").agg(F.avg(F.col("ok").cast("double")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def bench_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _match(spark).select("id", "lang")
+
+
+def batch_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every turn has the same result with all turns in one partition and dealt to many."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("t"))
+
+    def said(df: DataFrame, name: str) -> DataFrame:
+        return process(df, "t", "ko", provider=RuleProvider()).groupBy("conv_id", "turn", "t").agg(F.sort_array(F.collect_list(F.to_json("result"))).alias(name))
+
+    one, many = said(talks.coalesce(1), "a"), said(talks.repartition(13, "t"), "b")
+    both = one.join(many, [one.conv_id == many.conv_id, one.turn == many.turn, one.t.eqNullSafe(many.t)], "full")
+    return both.select(F.coalesce(one.conv_id, many.conv_id).alias("conv_id"), F.coalesce(one.turn, many.turn).alias("turn"), F.expr("a <=> b").alias("same"))
+
+
+_ITEM = f"(select id, case id % 5 when 4 then 'ja' when 2 then 'ko' when 3 then 'ko' else 'en' end lang, id % 5 in {MET} ok from {CHECK.range(1500)} r)"
+#: Queries that run the front end, and what must come out of them.
+GOLDEN = {
+    bench_cycle: f"select id, lang from {_ITEM} q",
+    bench_match: f"select id, ok from {_ITEM} q",
+    bench_accuracy: f"select lang, avg(case when ok then 1.0e0 else 0.0e0 end) accuracy, count(*) n from {_ITEM} q group by rollup(lang)",
+    batch_invariance: "select conv_id, turn, true same from (select distinct conv_id, turn, text from conversations) q",
+}
 #: Queries that SQL cannot express; tests hold them against examples and a public library.
-OTHERS = {f.__name__: f for f in (wordpiece_ids, transliterate_english, process_batch)}
+OTHERS = {f.__name__: f for f in (wordpiece_ids, transliterate_english, process_batch, model_features)}
 
 
 def queries() -> dict:
-    return {name: partial(run, name) for name in PLANS} | OTHERS
+    return {name: partial(run, name) for name in PLANS} | OTHERS | {f.__name__: f for f in GOLDEN}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text_of(name, CHECK) for name in PLANS}
+    return {name: text_of(name, CHECK) for name in PLANS} | {f.__name__: sql for f, sql in GOLDEN.items()}
