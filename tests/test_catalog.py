@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from voxweave.functions import kana, numerals, phonology, scripts, text
+from voxweave.functions import japanese, kana, numerals, phonology, scripts, text
 from voxweave.functions.dialect import SPARK, lit
 from voxweave.plans.queries import oracle_sql, queries
 from voxweave.sources.config import compatible, resolve_device, version_number
@@ -49,6 +49,9 @@ def test_phonology(spark, f, given, heard):
         ("판교역에 갈 수 있어. 서울역 만납시다", "판교여게 갈 수 이써. 서울력 만납씨다"),
         ("맑네요 국무회의를 독립 신라 잃어", "망네요 궁무회이를 동닙 실라 이러"),
         ("굳이 같이 닫히다 좋다 않는 값이 앉다", "구지 가치 다치다 조타 안는 갑씨 안따"),
+        ("솜이불 홑이불 막일 삯일 맨입 꽃잎 내복약 한여름 남존여비 신여성 색연필 직행열차 늑막염", "솜니불 혼니불 망닐 상닐 맨닙 꼰닙 내봉냑 한녀름 남존녀비 신녀성 생년필 지캥녈차 능망념"),
+        ("콩엿 담요 눈요기 영업용 식용유 백분율 솔잎 설익다 물약 불여우 물엿 휘발유 유들유들", "콩녇 담뇨 눈뇨기 영엄뇽 시굥뉴 백뿐뉼 솔립 설릭따 물략 불려우 물렫 휘발류 유들류들"),
+        ("문고리 눈동자 신바람 손재주 길가 갈등 발전 몰상식", "문꼬리 눈똥자 신빠람 손째주 길까 갈뜽 발쩐 몰쌍식"),
         ("의사의 abc 12 ㅋ", "의사에 abc 12 ㅋ"),
         ("", ""),
     ],
@@ -89,6 +92,11 @@ def test_endings(spark, word, label, tier):
     assert (one(spark, text.ending(SPARK, lit(word))), one(spark, text.pause(SPARK, lit(word)))) == (label, tier)
 
 
+@pytest.mark.parametrize("word, accent, out", [("サクラ", 0, "サ^クラ"), ("アメ", 1, "^ア]メ"), ("ニホン", 2, "ニ^ホ]ン"), ("キョウ", 1, "^キョ]ウ"), ("ヤスミ", 3, "ヤ^スミ]"), ("キ", 0, "キ")])
+def test_pitch(word, accent, out):
+    assert japanese.marked(word, accent) == out
+
+
 def test_config():
     assert version_number("1.2.3") == 10203 and compatible("1.4.0", 1, 2) and not compatible("2.0.0", 1, 2)
     assert resolve_device("cpu", {"device": "cuda"}, {}) == "cpu" and resolve_device(None, {"device": "cuda"}, {}) == "cuda" and resolve_device(None, {}, {}) == "auto"

@@ -8,6 +8,7 @@ from voxweave.operators.process import merge, process
 from voxweave.operators.transliterate import read_word, transliterate
 from voxweave.operators.wordpiece import WordPiece, encode, plain_vocabulary
 from voxweave.plans.queries import OTHERS
+from voxweave.sources import dictionaries
 from voxweave.sources.lines import lines
 from voxweave.streaming.columns import with_reading
 from voxweave.streaming.sentences import cut_sentences, sentences
@@ -119,3 +120,32 @@ def test_lines_and_stream_columns(spark, tmp_path):
 def test_other_queries_keep_rows(spark, name):
     table = "documents" if name == "wordpiece_ids" else "conversations"
     assert OTHERS[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
+
+
+def test_process_with_lexicons(spark):
+    say = lambda t, lang, **o: process(spark.createDataFrame([(t,)], "t string"), "t", lang, {"to_json": False, **o}).first().result
+    assert say("1日は休みで、1日中雨が降った。", "ja") == "ツイタチハヤスミデ,イチニチジュウアメガ降ッタ."
+    assert say("14時30分に3本、007と11本。", "ja", script="hiragana") == "じゅうよじさんじゅっぷんにさんぼん,ぜろぜろななとじゅういちほん."
+    assert say("정부는 예산을 확정했습니다 날씨가 참 맑네요", "ko", preset="raw") == "정부는[P1] 예사늘 확쩡핻씀니다.[P3] 날씨가 참 망네요.[P3]"
+    assert say("여기서 3번 버스를 타고 2번 갈아타야", "ko") == "여기서 삼번 버스를 타고 두번 가라타야"
+    assert say("물가 상승과 물가", "ko") == "물까 상승과 물가" and say("사람", "ko", vowel_length=True, to_ipa=True) == "saːɾam"
+    assert say("abc NASA", "ko", read_latin=False) == "abc NASA" and say(None, "ko") is None and say("", "ja") == ""
+    assert say("We read; I have READ <it>", "en", to_ssml=True) == '<speak>We <phoneme alphabet="ipa" ph="riːd">read</phoneme>; <break strength="medium"/> I have <phoneme alphabet="ipa" ph="rɛd">READ</phoneme> &lt;it&gt;</speak>'
+
+
+def test_dictionaries(spark, tmp_path):
+    put = lambda name, s: (tmp_path / name).write_text(s) and str(tmp_path / name)
+    assert dictionaries.readings(spark, put("r.json", '{"空": "ソラ", "海": ["ウミ", 1]}')) == {"空": ("ソラ", 0), "海": ("ウミ", 1)}
+    assert dictionaries.dictionary(spark, put("e.json", " ")) == {}
+    for bad in ("[1]", '{"a": 1, "b": 2}'):
+        with pytest.raises(ValueError):
+            dictionaries.dictionary(spark, put("b.json", bad), 1)
+    own = library(plain_vocabulary(), True)
+    made = dictionaries.wordpiece(spark, put("t.json", own.to_str()))
+    for x in TEXTS:
+        want = own.encode(x, add_special_tokens=False)
+        assert made.encode(x)[0][1:-1] == want.ids
+    with pytest.raises(ValueError):
+        dictionaries.wordpiece(spark, put("u.json", '{"model": {"type": "BPE"}}'))
+    assert dictionaries.one_text(spark, ["a", "b"]).first().value == "a b" and dictionaries.one_text(spark, [], "d").first().value == "d"
+    assert dictionaries.home("x", {}) == "x" and dictionaries.home(None, {"VOXWEAVE_HOME": "y"}) == "y" and dictionaries.home(None, {}) == os.getcwd()

@@ -21,23 +21,22 @@ def _dropped(digits: list[str], unit: str) -> list[str]:
     return ["", unit, *(d + unit for d in digits[2:])]
 
 
-def _wide(d: Spark, n: str) -> str:
-    return f"abs(cast({n} as {'decimal(20,0)' if d.name == 'spark' else 'hugeint'}))"
+def _over(d: Spark, n: str, p: int) -> str:
+    """The size of n, in whole units of p. The sign goes after the division, so that the least bigint needs no wider type."""
+    return f"abs(({n}) div {p})" if d.name == "spark" else f"(abs(cast({n} as hugeint)) // {p})"
 
 
 def _reading(d: Spark, n: str, tables: list[list[str]], units: list[str], zero: str, minus: str, bare: bool) -> str:
     """tables: thousands, hundreds, tens, ones. bare: a leading 1 before the lowest unit is not said."""
-    a = _wide(d, n)
-
     def four(g: str) -> str:
         return "concat(" + ", ".join(d.at(d.array(t), f"{d.div(g, p)} % 10 + 1") for t, p in zip(tables, (1000, 100, 10, 1))) + ")"
 
     said = []
     for unit, p in zip(units, (10**16, 10**12, 10**8, 10**4)):
-        g = f"cast({d.div(a, p)} % 10000 as int)"
-        one = f"when {d.div(a, p)} = 1 then '{unit}'" if bare and p == 10**4 else ""
+        g = f"cast({_over(d, n, p)} % 10000 as int)"
+        one = f"when {_over(d, n, p)} = 1 then '{unit}'" if bare and p == 10**4 else ""
         said.append(f"case {one} when {g} = 0 then '' else concat({four(g)}, '{unit}') end")
-    said.append(four(f"cast({a} % 10000 as int)"))
+    said.append(four(f"cast(abs(({n}) % 10000) as int)"))
     return f"case when {n} = 0 then '{zero}' else concat(case when {n} < 0 then '{minus}' else '' end, {', '.join(said)}) end"
 
 

@@ -10,6 +10,8 @@ from voxweave.functions.dialect import Spark, lit
 WORD_OR_MARK = "[A-Za-z0-9À-ɏ぀-ヿ가-힣]+|[!-/:-@\\[-`{-~、。]"
 UNITS = {"km": "킬로미터", "kg": "킬로그램", "cm": "센티미터", "m": "미터", "g": "그램", "달러": "달러", "원": "원", "개": "개"}
 NATIVE_UNITS = ("개", "명", "마리", "시", "번")
+#: What 번 is a number of, not a count: before these it takes Sino-Korean numerals.
+NUMBERED = ("번 버스", "번 출구", "번 국도", "번 홈", "번 선수")
 HETERONYMS = {"the": "NONE", "that": "TENS", "with": "NONE", "for": "TENS"}
 BREAKS = {"P1": "weak", "P2": "medium", "P3": "strong"}
 PAUSE_MS = {"P1": 70, "P2": 200, "P3": 500}
@@ -46,9 +48,10 @@ def dictionary(d: Spark, x: str, table: dict[str, str]) -> str:
     if not table:
         return x
     keys = sorted(table, key=lambda k: (-len(k), k))
-    found = "|".join(re.sub(r"[^\w ]", lambda m: "\\x27" if m[0] == "'" else "\\" + m[0], k) for k in keys)
+    plain = lambda k: re.sub(r"[^\w ]", lambda m: "\\x27" if m[0] == "'" else "\\" + m[0], k)
+    found, heads = "|".join(map(plain, keys)), "".join(plain(c) for c in sorted({k[0] for k in keys}))
     own = "case x " + " ".join(f"when {lit(k)} then {lit(table[k])}" for k in keys) + " else x end"
-    return d.join(d.map(d.find(x, f"{found}|(?s:.)"), "x", own), "")
+    return d.join(d.map(d.find(x, f"{found}|[^{heads}]+|(?s:.)"), "x", own), "")
 
 
 def by_case(d: Spark, x: str, exact: dict[str, str], upper: dict[str, str]) -> str:
@@ -68,7 +71,7 @@ def apply_spans(d: Spark, x: str, spans: str) -> str:
 
 def numbers(d: Spark, x: str) -> str:
     """x with its numbers read in Korean: native before native counters, else Sino-Korean; over 18 digits, or with a leading 0, digit by digit."""
-    units = sorted([*UNITS, *NATIVE_UNITS], key=lambda u: (-len(u), u))
+    units = sorted([*UNITS, *NATIVE_UNITS, *NUMBERED], key=lambda u: (-len(u), u))
     unit = "regexp_extract(x, '[^0-9.]*$', 0)"
     digits = "regexp_extract(x, '^[0-9]+', 0)"
     part = "regexp_extract(x, '[.]([0-9]+)', 1)"
@@ -99,3 +102,8 @@ def pause(d: Spark, word: str) -> str:
     """The pause after a word: P3 at the end of a sentence, P2 after a comma or a joining ending, P1 after 은 and 는, else NONE."""
     label = ending(d, word)
     return f"case when {d.like(word, '[.!?]$')} or {label} = 'EF' then 'P3' when {d.like(word, '[,;:]$')} or {label} = 'EC' then 'P2' when {d.like(word, '(은|는)$')} then 'P1' else 'NONE' end"
+
+
+def restored(d: Spark, word: str) -> str:
+    """The word with a full stop where a sentence ends without a mark."""
+    return f"concat({word}, case when {pause(d, word)} = 'P3' and not {d.like(word, '[.!?]$')} then '.' else '' end)"
