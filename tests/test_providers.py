@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxweave.operators.process import process
-from voxweave.operators.providers import HEADS, Encoded, RuleProvider, annotate, assets, features
+from voxweave.operators.providers import HEADS, Encoded, RuleProvider, annotate, features
+from voxweave.sources.assets import folder
 
 TEXTS = ["책 3개와 10km를 갔습니다.", None, "", "the end, 2.5", "a"]
 
@@ -72,9 +73,9 @@ def test_process_with_a_provider(df):
     assert len(full[0]) == 8 and [x.span for x in full[0].counter] == ["3개", "10km"] and plain[0].counter == []
 
 
-def test_assets(tmp_path):
-    assert assets(str(tmp_path), "ko", ()) is None
+def test_asset_folder(tmp_path):
+    assert folder(str(tmp_path), "ko", ()) is None
     (tmp_path / "models" / "ko").mkdir(parents=True)
     (tmp_path / "models" / "ko" / "KO_model_index.json").write_text("{}")
-    assert assets(str(tmp_path), "ko") == tmp_path / "models" / "ko" and assets(str(tmp_path), "ja", ()) is None
-    assert assets("none such", "ko", (str(tmp_path),)) == tmp_path / "models" / "ko"
+    assert folder(str(tmp_path), "ko") == tmp_path / "models" / "ko" and folder(str(tmp_path), "ja", ()) is None
+    assert folder("none such", "ko", (str(tmp_path),)) == tmp_path / "models" / "ko"

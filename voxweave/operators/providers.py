@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
-from pathlib import Path
 from typing import NamedTuple, Protocol
 
 import numpy as np
@@ -139,13 +138,3 @@ def annotate(df: DataFrame, column: str, provider: Provider, device: str | None
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*names, *(prefix + h for h in HEADS)])
 
     return df.mapInArrow(run, schema)
-
-
-def assets(root: str, lang: str, places: tuple[str, ...] = ("", ".", "models", "..", "../models")) -> Path | None:
-    """The first folder, root before the usual places, that holds a model index for lang; None if none does."""
-    index = f"{lang.upper()}_model_index.json"
-    for place in dict.fromkeys((root, *places)):
-        for folder in (Path(place) / "models" / lang, Path(place) / lang):
-            if place and (folder / index).is_file():
-                return folder
-    return None
