@@ -113,3 +113,19 @@ def test_same_as_check_engine(spark, name):
     assert sorted(got.columns) == cols
     rows = lambda t: sorted(repr([None if v is None or v != v else v for v in r]) for r in t[cols].astype(object).values.tolist())
     assert rows(got) == rows(want)
+
+
+def test_sentences_end_where_the_pause_rule_says(spark, tmp_path):
+    texts = ["날씨가 맑네요 기온은 높습니다. 다 까\t! 가요", "", " \n", None, "다", ". a.b c.\r\n d", "끝", "a? b; 갑니다만 합니까 c!d e.  ", "x " * 5000 + "다 y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for k, t in enumerate(texts):
+        words = spark.createDataFrame([(i, w) for i, w in enumerate((t or "").split())], "i int, x string").selectExpr("i", "x", text.pause(SPARK, "x") + " p").orderBy("i").collect()
+        own = []
+        for i, w, p in words:
+            own.append(w)
+            if p == "P3" or i + 1 == len(words):
+                want.append((k, sum(r[0] == k for r in want), len(own), i + 1 - len(own), len("".join(own))))
+                own = []
+    got = queries()["sentence_segmentation"](spark, str(tmp_path)).select("doc_id", "sentence", "n_words", "first_word", "n_chars").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 15

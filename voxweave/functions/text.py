@@ -92,6 +92,9 @@ def normalize_ko(d: Spark, x: str) -> str:
 #: Endings that close a sentence (EF) or join clauses (EC), and particles (JX, JKB); the first that fits is taken.
 ENDINGS = {"EF": "(니다|니까|어요|아요|해요|네요|세요|다|까)[.!?]?$", "EC": "(고|며|면서|지만|는데|니까|아서|어서|해서|면)$", "JKB": "(에서|에게|에|으로|로|와|과)$", "JX": "(은|는|도|만|까지|부터)$"}
 
+#: A run of words up to the first that closes a sentence, by the same rule as pause; for Spark's regular expressions only.
+SENTENCE = "(?=[^ \\t\\n\\r])(?s:.*?)(?:[.!?]|" + ENDINGS["EF"].removesuffix("[.!?]?$") + ")(?=[ \\t\\n\\r]|\\z)|(?=[^ \\t\\n\\r])(?s:.+)"
+
 
 def ending(d: Spark, word: str) -> str:
     """The label of a word's ending by its last syllables; NONE if no rule fits."""
@@ -100,8 +103,8 @@ def ending(d: Spark, word: str) -> str:
 
 def pause(d: Spark, word: str) -> str:
     """The pause after a word: P3 at the end of a sentence, P2 after a comma or a joining ending, P1 after 은 and 는, else NONE."""
-    label = ending(d, word)
-    return f"case when {d.like(word, '[.!?]$')} or {label} = 'EF' then 'P3' when {d.like(word, '[,;:]$')} or {label} = 'EC' then 'P2' when {d.like(word, '(은|는)$')} then 'P1' else 'NONE' end"
+    closes, joins = "[.!?]$|" + ENDINGS["EF"], "[,;:]$|" + ENDINGS["EC"]  # EF goes before EC, as in ending()
+    return f"case when {d.like(word, closes)} then 'P3' when {d.like(word, joins)} then 'P2' when {d.like(word, '(은|는)$')} then 'P1' else 'NONE' end"
 
 
 def restored(d: Spark, word: str) -> str:
