@@ -1,12 +1,16 @@
 import os
+import pickle
+import random
+import tracemalloc
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 from voxweave.operators.process import merge, process
 from voxweave.operators.transliterate import read_word, transliterate
-from voxweave.operators.wordpiece import WordPiece, encode, plain_vocabulary
+from voxweave.operators.wordpiece import WordPiece, encode, encoded, plain_vocabulary
 from voxweave.plans.queries import OTHERS
 from voxweave.sources import dictionaries
 from voxweave.sources.lines import lines
@@ -34,6 +38,34 @@ def test_wordpiece_equals_library(han):
         assert (ids, list(zip(starts, ends))) == (want.ids, want.offsets), x
 
 
+def test_wordpiece_many_texts_at_once():
+    draw = random.Random(7)
+    texts = [None, *TEXTS, "x" * 100, "İstanbul ΑΣ Σ", "😀a 😀", "\x1c\x85", "​\n​"]
+    texts += ["".join(draw.choice("aBthe ing,.\n​中é\0İ😀ßΣ") for _ in range(draw.randint(0, 90))) for _ in range(600)]
+    for own in (WordPiece(plain_vocabulary()), WordPiece(plain_vocabulary(), special=False, split_han=True), WordPiece({"[UNK]": 1, "i̇s": 5, "##t": 6, "σ": 7}, lower=True)):
+        ids, starts, ends, at = own.encode_all(texts)
+        one = pickle.loads(pickle.dumps(own))
+        for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
+            assert (ids[a:b].tolist(), starts[a:b].tolist(), ends[a:b].tolist()) == one.encode(t), t
+    other, own = library(plain_vocabulary(), False), WordPiece(plain_vocabulary(), special=False)
+    plain = [t for t in texts if t and not set(t) & set("İΣ")]  # the library lowers these by their neighbours, or to two letters
+    for t in plain:
+        assert own.encode(t)[0] == other.encode(t, add_special_tokens=False).ids, t
+
+
+def test_wordpiece_holds_a_bounded_part(spark):
+    batch = pa.record_batch({"t": [f"{k} some words, and more of them. " * 60 for k in range(4000)]})
+    tracemalloc.start()
+    try:
+        sizes = [(x.num_rows, x.column("ids").nbytes) for x in encoded(iter([batch]), 0, WordPiece(plain_vocabulary()))]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(n for n, _ in sizes) == 4000 and max(b for _, b in sizes) < 4e6 and most < 150e6
+    encode(spark.createDataFrame([("a",)], "t string"), "t", WordPiece(plain_vocabulary()))
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
 def test_wordpiece_table(spark):
     df = spark.createDataFrame([(1, None), (2, "the a"), (3, "the a")], "k int, text string")
     rows = {r.k: r for r in encode(df, "text", WordPiece(plain_vocabulary())).collect()}

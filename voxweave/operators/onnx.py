@@ -79,7 +79,6 @@ class _Opened:
 
     def encode(self, texts: list[str]) -> list[Encoded]:
         coded = [self.given.tokenizer.encode(t) for t in texts]
-        self.given.tokenizer._seen.clear()
         by: dict[int, list[tuple[int, int]]] = {}
         for i, (ids, _, _) in enumerate(coded):
             for s in range(0, len(ids), self.given.most):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import NamedTuple, Protocol
 
 import numpy as np
@@ -48,6 +49,21 @@ class Provider(Protocol):
     def open(self, device: str, threads: int) -> Model: ...
 
 
+@lru_cache(100_000)
+def _state(i: int, dim: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(i)).standard_normal(dim, np.float32)
+
+
+@lru_cache(100_000)
+def _labels(word: str) -> tuple[str | None, str | None]:
+    """A word's ending and its heteronym label."""
+    return next((k for k, p in ENDINGS.items() if re.search(p, word)), None), HETERONYMS.get(word.lower())
+
+
+#: A numeral and the unit after it.
+NUMERAL = re.compile(f"([0-9]+(?:[.][0-9]+)?)({'|'.join(sorted([*UNITS, *NATIVE_UNITS], key=lambda u: (-len(u), u)))})?")
+
+
 @dataclass
 class RuleProvider:
     """States from a generator seeded by each token's id; heads from digits, counters, endings and the heteronym table."""
@@ -59,27 +75,23 @@ class RuleProvider:
         return self
 
     def encode(self, texts: list[str]) -> list[Encoded]:
-        out = []
-        for text in texts:
-            ids, starts, ends = self.tokenizer.encode(text)
-            states = [np.random.Generator(np.random.PCG64(i)).standard_normal(self.dim, np.float32) for i in ids]
-            out.append(Encoded(np.array(states, np.float32).reshape(len(ids), self.dim), starts, ends))
-        self.tokenizer._seen.clear()
-        return out
+        ids, starts, ends, offsets = self.tokenizer.encode_all(texts)
+        kinds, which = np.unique(ids, return_inverse=True)
+        states = np.array([_state(i, self.dim) for i in kinds.tolist()], np.float32).reshape(-1, self.dim)[which]
+        return [Encoded(states[a:b], starts[a:b].tolist(), ends[a:b].tolist()) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
 
     def heads(self, text: str, encoded: Encoded) -> dict[str, list]:
         found: dict[str, list] = {name: [] for name in HEADS}
-        units = "|".join(sorted([*UNITS, *NATIVE_UNITS], key=lambda u: (-len(u), u)))
-        for m in re.finditer(f"([0-9]+(?:[.][0-9]+)?)({units})?", text):
+        for m in NUMERAL.finditer(text):
             found["numbers"].append((m.start(1), m.end(1), "decimal" if "." in m[1] else "cardinal", 1.0))
             if m[2]:
                 found["counter"].append((m.start(), m.end(), "native" if m[2] in NATIVE_UNITS else "sino", 1.0))
         for m in re.finditer(r"\S+", text):
-            label = next((k for k, p in ENDINGS.items() if re.search(p, m[0])), None)
-            if label:
-                found["morphemes"].append((m.start(), m.end(), label, 1.0))
-            if m[0].lower() in HETERONYMS:
-                found["heteronym"].append((m.start(), m.end(), HETERONYMS[m[0].lower()], 1.0))
+            ending, heteronym = _labels(m[0]) if m.end() - m.start() <= 100 else _labels.__wrapped__(m[0])
+            if ending:
+                found["morphemes"].append((m.start(), m.end(), ending, 1.0))
+            if heteronym:
+                found["heteronym"].append((m.start(), m.end(), heteronym, 1.0))
         found["annotations"] = [(s, e, k, c) for s, e, k, c in found["numbers"]]
         return found
 
