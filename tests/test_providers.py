@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxweave.operators.process import process
 from voxweave.operators.providers import HEADS, Encoded, RuleProvider, annotate, features
+from voxweave.plans.queries import batch_invariance, invariance
 from voxweave.sources.assets import folder
 
 TEXTS = ["책 3개와 10km를 갔습니다.", None, "", "the end, 2.5", "a"]
@@ -79,3 +80,31 @@ def test_asset_folder(tmp_path):
     (tmp_path / "models" / "ko" / "KO_model_index.json").write_text("{}")
     assert folder(str(tmp_path), "ko") == tmp_path / "models" / "ko" and folder(str(tmp_path), "ja", ()) is None
     assert folder("none such", "ko", (str(tmp_path),)) == tmp_path / "models" / "ko"
+
+
+def Neighbourly():
+    """A provider whose spans depend on the other texts of a pass."""
+
+    @dataclass
+    class Own:
+        def open(self, device, threads):
+            return self
+
+        def encode(self, texts):
+            return [Encoded(np.full((1, 1), len(texts), np.float32), [0], [0]) for _ in texts]
+
+        def heads(self, text, encoded):
+            return {"annotations": [(0, len(text), "x", float(encoded.states[0, 0]))]}
+
+    return Own()
+
+
+def test_batch_invariance(spark, tmp_path):
+    rows = [(1, 1, "가 3개"), (1, 1, "가 3개"), (1, 1, "나"), (None, 2, "다"), (None, None, "다"), (2, 1, None)] + [(k, 3, f"{k}번 the") for k in range(200)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    made = batch_invariance(spark, str(tmp_path))
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, made.collect()), key=key) == sorted(((c, t, True) for c, t, _ in set(rows)), key=key)
+    assert "Coalesce 1" not in made._jdf.queryExecution().toString()  # no task gets all rows
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, t string")
+    assert invariance(talks, Neighbourly()).where("not same").count() > 100

@@ -65,12 +65,12 @@ def _marked(heard: str, marks: Mapping[str, str], word: str, restore: bool = Fal
     return f"array_join(transform({D.find(heard, WORDS)}, (x, i) -> concat({word}, case {case} else '' end)), ' ')"
 
 
-def process(df: DataFrame, column: str, lang: str, options: Mapping | None = None, out: str = "result", provider: Provider | None = None) -> DataFrame:
+def process(df: DataFrame, column: str, lang: str, options: Mapping | None = None, out: str = "result", provider: Provider | None = None, chunk: int = 32) -> DataFrame:
     """df with `out`: a struct of eight keys, or plain text if to_json is false.
 
     An unsupported language passes the text through: its phonology is null and it has no pauses. Null
     gives null text; empty text has no pauses. tn_only stops after normalization. A provider fills the keys
-    that models fill, with spans of the given text; without one they are empty. Korean text has its Latin words read
+    that models fill, with spans of the given text, from `chunk` texts at once; without one they are empty. Korean text has its Latin words read
     in Hangul unless read_latin is false; the raw preset restores stops at the ends of sentences.
     """
     o = merge(OPTIONS, options)
@@ -95,7 +95,7 @@ def process(df: DataFrame, column: str, lang: str, options: Mapping | None = Non
         return made.withColumn(out, F.expr(f"coalesce({heard}, _normal)")).drop("_normal", "_heard", "_tiers")
     spots = f"filter(transform({D.find('_heard', WORDS)}, (x, i) -> named_struct('word_idx', i, 'word', x, 'pause', element_at(_tiers, i + 1))), p -> p.pause <> 'NONE')"
     if provider:
-        made = annotate(made, column, provider, prefix="_head_")
+        made = annotate(made, column, provider, chunk=chunk, prefix="_head_")
         empty = ", ".join(f"'{k}', _head_{k}" for k in UNFILLED)
     else:
         empty = ", ".join(f"'{k}', cast(array() as array<string>)" for k in UNFILLED)

@@ -128,6 +128,7 @@ def features(df: DataFrame, column: str, provider: Provider, device: str | None
 def annotate(df: DataFrame, column: str, provider: Provider, device: str | None = None, threads: int = 0, chunk: int = 32, given: tuple[str, str, str] | None = None, prefix: str = "") -> DataFrame:
     """df with a column of spans for each of HEADS (named with prefix).
 
+    chunk: how many texts the backbone gets at once.
     given: columns with the flat states and each token's start and end, if the backbone has run elsewhere; then only the
     heads run here. Null counts as empty.
     """
@@ -137,14 +138,14 @@ def annotate(df: DataFrame, column: str, provider: Provider, device: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _opened(provider, device, threads)
         for batch in batches:
-            for s in range(0, batch.num_rows, chunk):
-                part = batch.slice(s, chunk)
+            for s in range(0, batch.num_rows, max(chunk, 32)):
+                part = batch.slice(s, max(chunk, 32))
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 if given:
                     flat, starts, ends = (part.column(names.index(c)).to_pylist() for c in given)
                     got = [Encoded(np.array(f or [], np.float32).reshape(len(a or []), -1 if f else 0), a or [], b or []) for f, a, b in zip(flat, starts, ends)]
                 else:
-                    got = model.encode(texts)
+                    got = [e for k in range(0, len(texts), chunk) for e in model.encode(texts[k : k + chunk])]
                 found = [model.heads(t, e) for t, e in zip(texts, got, strict=True)]
                 cols = [pa.array([[{"span": t[a:b], "start": a, "end": b, "label": k, "conf": c} for a, b, k, c in f.get(h, [])] for t, f in zip(texts, found)], pa.list_(SPAN)) for h in HEADS]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*names, *(prefix + h for h in HEADS)])
